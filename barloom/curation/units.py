@@ -7,7 +7,7 @@ Two identities tie the recorded numbers together:
 
 In logarithms each is a sum, so a wrong unit moves the residual by whole powers of ten. Per vendor and
 date the summed (capped) absolute residual of every candidate unit is one aggregate; a shortest path
-over each vendor's dates then picks the sequence of units with the least residual, paying for every change.
+over each vendor's dates then picks the sequence of units with the least residual, paying for every undocumented change.
 What is documented enters as a mild preference, so data decide where there are enough of them.
 """
 
@@ -73,20 +73,23 @@ def documented_units(notes: DataFrame, field: str) -> pd.DataFrame:
 
 def choose_units(powers: tuple[int, ...], docs: pd.DataFrame):
     """A function for ``applyInPandas`` by vendor: cells (vendor, day, n, c0, c1, ...) to (vendor, day, power, unique_fit)."""
-    by_vendor = {v: sorted((d.toordinal() if isinstance(d, object) and d is not None and d == d else 0, int(p)) for d, p in zip(g.valid_from, g.power)) for v, g in docs.groupby("vendor")}
+    by_vendor = {v: sorted((d.toordinal() if d is not None and d == d else 0, powers.index(int(p))) for d, p in zip(g.valid_from, g.power) if int(p) in powers) for v, g in docs.groupby("vendor")}
 
     def fit(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("day", kind="stable")
-        own, k = cells[[f"c{i}" for i in range(len(powers))]].to_numpy(float), len(powers)
-        cost, days = own.copy(), [d.toordinal() for d in cells["day"]]
+        k, days = len(powers), [d.toordinal() for d in cells["day"]]
+        cost = cells[[f"c{i}" for i in range(k)]].to_numpy(float).copy()
+        stated = np.full(len(days), -1)
         for start, power in by_vendor.get(cells["vendor"].iloc[0], []):
-            later = [s for s, _ in by_vendor[cells["vendor"].iloc[0]] if s > start]
-            for t, day in enumerate(days):
-                if start <= day < (later[0] if later else 10**9):
-                    cost[t] += DOC_COST * (np.asarray(powers) != power)
+            stated[np.asarray(days) >= start] = power
+        told = stated >= 0
+        cost[told] += DOC_COST * (np.arange(k)[None, :] != stated[told][:, None])
         best, back = cost[0].copy(), np.zeros((len(days), k), int)
         for t in range(1, len(days)):
-            come = best[:, None] + SWITCH_COST * (1 - np.eye(k))
+            move = SWITCH_COST * (1 - np.eye(k))
+            if stated[t] != stated[t - 1] and told[t]:
+                move[:, stated[t]] = 0.0  # a documented change costs nothing
+            come = best[:, None] + move
             back[t] = come.argmin(0)
             best = come.min(0) + cost[t]
         path = [int(best.argmin())]
@@ -157,7 +160,7 @@ def stated_cash_power(text: F.Column) -> F.Column:
         .when(s.rlike(r"dollar|usd|us\$|\$"), 0)
     )
     n = F.regexp_extract(s, PER, 1)
-    per = F.when(n == "", 0).when(n == "ten", 1).when(n.isin("hundred", "one hundred"), 2).when(n == "thousand", 3).otherwise(F.round(F.log10(F.expr("try_cast('1' as double)") * n.try_cast("double"))).cast("int"))
+    per = F.when(n == "", 0).when(n == "ten", 1).when(n.isin("hundred", "one hundred"), 2).when(n == "thousand", 3).otherwise(F.round(F.log10(n.try_cast("double"))).cast("int"))
     return money - per
 
 
