@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.curation.units import vendor_of
-from barloom.runtime import broadcast_if_small, norm_key
+from barloom.runtime import broadcast_if_small, norm_key, staged_small
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 START = np.log([0.99, 0.004, 0.004, 0.002])
@@ -179,9 +179,9 @@ def flag_implausible(prices: DataFrame, units: DataFrame, *, min_run: int = 6, r
     log_volume = F.when(F.col("volume") > 0, F.ln("volume"))
     usual = p.where("symbol is not null").groupBy("symbol").agg(F.percentile_approx(log_volume, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
     usual = usual.select("symbol", F.col("q")[1].alias("usual"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"))
-    grouped = readings.join(broadcast_if_small(usual, 1_000_000), "symbol").withColumn("_g", F.pmod(F.xxhash64("symbol"), F.lit(n_groups)))
+    grouped = readings.join(staged_small(usual, "usual", 1_000_000), "symbol").withColumn("_g", F.pmod(F.xxhash64("symbol"), F.lit(n_groups)))
     flags = grouped.groupBy("_g").applyInPandas(lambda g: _score(min_run)(g), "symbol string, vendor string, day date, value double, field_name string, state string, z double")
     row = p.select("row_id", "symbol", "vendor", "day", F.explode(F.array(F.struct(F.lit("close").alias("field_name"), F.col("close").alias("value")), F.struct(F.lit("volume").alias("field_name"), F.col("volume").alias("value")))).alias("_v")).select("row_id", "symbol", "vendor", "day", "_v.*").where("value is not null")
-    hit = row.join(broadcast_if_small(flags.select("symbol", "vendor", "day", "value", "field_name", "state")), ["symbol", "vendor", "day", "value", "field_name"])
+    hit = row.join(staged_small(flags.select("symbol", "vendor", "day", "value", "field_name", "state"), "flags"), ["symbol", "vendor", "day", "value", "field_name"])
     orphan = row.where("(symbol is null or day is null) and value <= 0").withColumn("state", F.lit("out_of_range"))
     return hit.select("row_id", "field_name", "state").unionByName(orphan.select("row_id", "field_name", "state"))

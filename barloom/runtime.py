@@ -57,6 +57,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def staged_small(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`stage`, then a broadcast hint if the count proves the bound: for results too dear to compute for a count and again."""
+    return broadcast_if_small(stage(df, label), rows)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores; a table read in enough splits stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
