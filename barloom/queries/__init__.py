@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from barloom.queries import curation
+    from barloom.queries import curation, operators
 
-    return (curation,)
+    return (curation, operators)
 
 
 def all_queries() -> dict:
