@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from barloom.queries import curation, operators
+    from barloom.queries import curation, operators, scoring
 
-    return (curation, operators)
+    return (curation, operators, scoring)
 
 
 def all_queries() -> dict:
