@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from barloom.queries import curation, operators, scoring
+    from barloom.queries import curation, operators, scoring, storage
 
-    return (curation, operators, scoring)
+    return (curation, operators, scoring, storage)
 
 
 def all_queries() -> dict:
