@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -168,6 +169,15 @@ def _search(docs, block, n_docs, id_type, out_schema, min_words, slack, common_s
     # Counted over all documents; at most one row per trigram of the block, so bounded by BLOCK_WORDS.
     frequency = passages.select("_doc", F.explode(F.array_distinct("_grams")).alias("g")).distinct().groupBy("g").count().where(F.col("count") > max(20, common_share * n_docs))
     in_items = [len({k for k, _ in p}) for p in places]
+    grams_of: list[set] = [set() for _ in block]
+    for no, p in enumerate(places):
+        for k in {k for k, _ in p}:
+            grams_of[k].add(no)
+    # A passage of n matched words with at most slack * n errors and one interjection breaks at most GRAM - 1 trigrams at
+    # each of them and at the ends, so it keeps this many; repeats within the item are allowed for.
+    errors = math.floor(slack * min_words)
+    least = max(min_seeds, min_words - (GRAM - 1) * (errors + 2) - 1)
+    contents = spark.sparkContext.broadcast(grams_of)
     common = frozenset(r.g for r in frequency.collect() if in_items[r.g] >= common_items)
     frequent = spark.sparkContext.broadcast(common)
 
@@ -183,8 +193,9 @@ def _search(docs, block, n_docs, id_type, out_schema, min_words, slack, common_s
                     if g not in skip:
                         for k, _ in places_of[g]:
                             near[k].append((p, g))
+                here = frozenset(grams)
                 for k, hits in near.items():
-                    if len({g for _, g in hits}) < min_seeds:
+                    if len({g for _, g in hits}) < min_seeds or len(contents.value[k] & here) < least:
                         continue
                     if k not in coded:
                         number: dict[str, int] = {}
