@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from barloom.queries import curation, library, operators, scoring, storage
+    from barloom.queries import combination, curation, library, operators, scoring, storage
 
-    return (curation, operators, scoring, storage, library)
+    return (curation, operators, scoring, storage, library, combination)
 
 
 def all_queries() -> dict:
