@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from barloom.queries import combination, curation, library, operators, scoring, storage
+    from barloom.queries import combination, curation, library, operators, portfolios, scoring, storage
 
-    return (curation, operators, scoring, storage, library, combination)
+    return (curation, operators, scoring, storage, library, combination, portfolios)
 
 
 def all_queries() -> dict:
