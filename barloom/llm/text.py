@@ -11,15 +11,18 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑­][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _INVISIBLE = re.compile("[­​‌‍⁠﻿]")
 _GROUPED = re.compile(r"(?<![\d.,])(\d{1,3})((?:[,' ’ _]\d{3})+)(?!\d)")
+_DOTTED = re.compile(r"(?<![\d.,])(\d{1,3})((?:\.\d{3}){2,})(?![\d.])")
+_DECIMAL_COMMA = re.compile(r"(?<=\d),(?=\d{1,2}(?!\d))")
 _WORD = re.compile(r"\d+(?:\.\d+)?|[^\W\d_]+")
-_MOJIBAKE = re.compile("[ÂÃâ][-¿€‚„†‡ˆ‰‹‘’“”•–—˜™›œ]")
-#: Signs written as words, and words that stand for them.
-SIGNS = {"$": " ", "€": " ", "£": " ", "%": " ", "&": " and "}
+#: A lead byte of UTF-8 and what may follow it, both read as single bytes.
+_FOLLOWING = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_MOJIBAKE = re.compile(f"[Â-ô]{_FOLLOWING}+")
+#: Words that stand for signs (fixed values).
 DROPPED = frozenset({"usd", "us", "dollars", "dollar", "percent", "pct"})
-#: Number words (fixed values).
-UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
-SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+#: Numbers written as words (fixed values).
+_SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = {w: str(i) for i, w in enumerate(_SMALL)} | {w: str(10 * i) for i, w in enumerate(_TENS, 2)}
 
 
 def repair(text: str) -> str:
@@ -30,7 +33,7 @@ def repair(text: str) -> str:
                 return text.encode(codec).decode("utf-8")
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
-        return re.sub(r"[ÂÃâ][-¿€‚„†‡ˆ‰‹‘’“”•–—˜™›œ]{1,2}", _one, text)
+        return _MOJIBAKE.sub(_one, text)
     return text
 
 
@@ -55,7 +58,8 @@ def plain(text: str) -> str:
 def words(text: str) -> list[str]:
     """Lower-case words and numbers in order; signs, currency and percent words are left out, grouped digits joined."""
     s = plain(text).lower()
-    s = _GROUPED.sub(lambda m: m[1] + re.sub(r"\D", "", m[2]), s)
+    joined = lambda m: m[1] + re.sub(r"\D", "", m[2])
+    s = _DECIMAL_COMMA.sub(".", _DOTTED.sub(joined, _GROUPED.sub(joined, s)))
     out = []
     for w in _WORD.findall(s):
         if w[0].isdigit():
@@ -63,5 +67,5 @@ def words(text: str) -> list[str]:
             w = w.lstrip("0")
             out.append(w if w and w[0] != "." else "0" + w)
         elif w not in DROPPED:
-            out.append(w)
+            out.append(NUMBERS.get(w, w))
     return out
