@@ -48,9 +48,9 @@ def standardize(long: DataFrame, how: str = "zscore", by: str = "factor_id") ->
         z = F.when(F.col("value").isNotNull(), F.when(flat, F.lit(0.0)).otherwise((F.col("value") - F.avg("value").over(w)) / F.when(~flat, sd)))
     elif how == "rank":
         n = F.count("value").over(w)
-        first = F.rank().over(w.orderBy(F.col("value").asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "value"))
-        z = F.when(F.col("value").isNotNull(), F.when(n == 1, F.lit(0.0)).otherwise(2 * (first - 1 + (ties - 1) / 2) / F.when(n > 1, n - 1) - 1))
+        ordered = w.orderBy(F.col("value").asc_nulls_last())
+        twice = F.rank().over(ordered) - 1 + F.count("value").over(ordered.rangeBetween(Window.unboundedPreceding, 0)) - 1
+        z = F.when(F.col("value").isNotNull(), F.when(n == 1, F.lit(0.0)).otherwise(twice / F.when(n > 1, n - 1) - 1))
     else:
         raise ValueError(f"standardize by zscore or rank, not {how!r}")
     return df.withColumn("value", z)

@@ -51,8 +51,9 @@ def joint(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def average_rank(x: str, keys: Sequence[str]) -> Column:
-    """Rank from 1 with ties at their average, within ``keys``."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / 2
+    """Rank from 1 with ties at their average, within ``keys``: the mean of the first and the last place of equal values, from one sort."""
+    ordered = Window.partitionBy(*keys).orderBy(x)
+    return (F.rank().over(ordered) + F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, 0))) / 2
 
 
 def ic_series(df: DataFrame, x: str = "factor", y: str = "fwd", by: Sequence[str] = ()) -> DataFrame:

@@ -169,7 +169,9 @@ class Past:
 
     @property
     def full(self) -> Column:
-        return self.agg("count", F.count) == self.d
+        """No value of the window is missing: the last gap lies at least ``d`` bars back. One running helper serves all windows of a series."""
+        gap = self.ctx.window(("gap", self.key[0]), lambda: F.last(F.when(self.x.isNull(), self.ctx.bar_no), ignorenulls=True).over(self.ctx.by_symbol.rowsBetween(Window.unboundedPreceding, 0)))
+        return self.ctx.bar_no - F.coalesce(gap, F.lit(-1)) >= self.d
 
     @property
     def values(self) -> Column:
@@ -404,10 +406,12 @@ class Across:
 
     def rank(self) -> Column:
         """Average rank in [0, 1]; alone: one half."""
-        first = self.ctx.window(("cs", "rank", *self.key), lambda: F.rank().over(self.all.orderBy(self.x.asc_nulls_last())))
-        ties = self.ctx.window(("cs", "ties", *self.key), lambda: F.count(F.lit(1)).over(Window.partitionBy(*self.by, self.x)))
+        # Values below and values up to this one, from one sort: their mean is the average rank of ties.
+        ordered = self.all.orderBy(self.x.asc_nulls_last())
+        first = self.ctx.window(("cs", "rank", *self.key), lambda: F.rank().over(ordered))
+        upto = self.ctx.window(("cs", "upto", *self.key), lambda: F.count(self.x).over(ordered.rangeBetween(Window.unboundedPreceding, 0)))
         n = self.agg("count", F.count)
-        return F.when(self.x.isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise((first - 1 + (ties - 1) / 2) / F.when(n > 1, n - 1)))
+        return F.when(self.x.isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise(((first - 1) + (upto - 1)) / 2 / F.when(n > 1, n - 1)))
 
 
 @operator("cs_rank", 1, axis="cs")

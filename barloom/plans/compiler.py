@@ -110,6 +110,7 @@ def compile_factors(panel: DataFrame, factors: Mapping[str, str | Node], groups:
     done: set[str] = {h for h in nodes if h not in pending}
     ready = lambda axis: {h: n for h, n in pending.items() if registry.get(n.op).axis == axis and all(node_hash(a) in done for a in n.args)}
     clustered, switches = None, 0
+    n_tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def live() -> list[str]:
         used = {node_hash(a) for n in pending.values() for a in n.args} | {node_hash(r) for r in roots.values()}
@@ -130,7 +131,8 @@ def compile_factors(panel: DataFrame, factors: Mapping[str, str | Node], groups:
             continue
         axis = clustered if clustered and ready(clustered) else ("ts" if ready("ts") else "cs")
         if axis != clustered:
-            frame = frame.select(*live()).repartition("symbol" if axis == "ts" else "date")
+            # The number is named so that small but costly windows keep their parallelism; it is the cluster's own setting.
+            frame = frame.select(*live()).repartition(n_tasks, "symbol" if axis == "ts" else "date")
             clustered, switches = axis, switches + 1
         work, ctx = ready(axis), Context(named)
         built = {f"n_{h}": registry.get(n.op).build(ctx, *map(arg, n.args)).cast("double") for h, n in work.items()}

@@ -36,9 +36,9 @@ def process_signal(signal: DataFrame, transform: str = "rank", tail: float = 0.0
         s = s.withColumn("signal", F.when(ok, (F.col("signal") - F.avg("signal").over(w)) / F.when(ok, sd)))
     elif transform == "rank":
         n = F.count("signal").over(w)
-        first = F.rank().over(w.orderBy(F.col("signal").asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "signal"))
-        s = s.withColumn("signal", F.when(F.col("signal").isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise((first - 1 + (ties - 1) / 2) / F.when(n > 1, n - 1))))
+        ordered = w.orderBy(F.col("signal").asc_nulls_last())
+        twice = F.rank().over(ordered) - 1 + F.count("signal").over(ordered.rangeBetween(Window.unboundedPreceding, 0)) - 1
+        s = s.withColumn("signal", F.when(F.col("signal").isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise(twice / 2 / F.when(n > 1, n - 1))))
     return s
 
 
