@@ -24,69 +24,100 @@ from barloom.runtime import spread, stage
 GRAM = 3
 #: Words of items held in one broadcast block.
 BLOCK_WORDS = 400_000
-MATCH, ERROR, JUMP = 1.0, -2.0, -6.0
+#: Whole numbers, so that the tables are exact in 16 bits: what a matched word, a wrong word and an interjection count.
+MATCH, ERROR, JUMP = 1, -2, -6
+#: Pairs aligned side by side, and words of a text that are aligned at once: longer stretches are cut into overlapping ones.
+SIDE_BY_SIDE, STRETCH = 64, 2_048
 
 
-def align(item: np.ndarray, text: np.ndarray, error: float = ERROR, jump: float = JUMP) -> list[tuple[int, int, int, int]]:
-    """The best local alignment of two arrays of word numbers, as pieces (matches, errors, first and last place in ``text``).
+def align_many(items: list[np.ndarray], texts: list[np.ndarray], error: int = ERROR, jump: int = JUMP) -> list[list[tuple[int, int, int, int]]]:
+    """The best local alignment of each pair of arrays of word numbers, as pieces (matches, errors, first and last place in the text).
 
-    Pieces are parted by jumps over words of ``text``. Substituted, dropped and inserted words are errors of the piece they stand in.
+    Pieces are parted by jumps over words of the text. Substituted, dropped and inserted words are errors of the piece they stand in.
+    The pairs are padded and walked together, a word of the texts at a time. Negative numbers match nothing.
     """
-    n, m = len(text), len(item)
-    if not n or not m:
-        return []
-    h = np.zeros((n + 1, m + 1))
-    far = np.full(m + 1, -np.inf)  # the best of the rows above, for jumps
-    far_row = np.zeros((n + 1, m + 1), np.int32)
-    best_row = np.zeros(m + 1, np.int32)
-    slide = error * np.arange(m + 1)
-    equal = text[:, None] == item[None, :]
-    step = np.where(equal, MATCH, error)
+    b, m, n = len(items), max(map(len, items), default=0), max(map(len, texts), default=0)
+    if not m or not n:
+        return [[] for _ in items]
+    q, t = np.full((b, m), -2, np.int32), np.full((b, n), -1, np.int32)
+    for k, (i, x) in enumerate(zip(items, texts)):
+        q[k, : len(i)], t[k, : len(x)] = i, x
+    kind = np.int16 if max(m, n) < 8_000 else np.int32
+    h = np.zeros((n + 1, b, m + 1), kind)
+    far = np.full((b, m + 1), -9999, kind)  # the best of the rows above, for jumps
+    far_row, best_row = np.zeros((n + 1, b, m + 1), kind), np.zeros((b, m + 1), kind)
+    slide = (error * np.arange(m + 1)).astype(kind)
     for i in range(1, n + 1):
-        row = h[i]
-        row[1:] = np.maximum(h[i - 1, :-1] + step[i - 1], h[i - 1, 1:] + error)
-        np.maximum(row, far + jump, out=row)
+        row, above = h[i], h[i - 1]
+        step = np.where(q == t[:, i - 1 : i], kind(MATCH), kind(error))
+        np.maximum(above[:, :-1] + step, above[:, 1:] + kind(error), out=row[:, 1:])
+        np.maximum(row, far + kind(jump), out=row)
         far_row[i] = best_row
-        np.maximum(row, 0.0, out=row)
-        row[:] = np.maximum.accumulate(row - slide) + slide
+        np.maximum(row, 0, out=row)
+        row[:] = np.maximum.accumulate(row - slide, axis=1) + slide
         better = row >= far
-        far = np.where(better, row, far)
-        best_row = np.where(better, i, best_row)
+        np.copyto(far, row, where=better)
+        best_row[better] = i
+    return [_trace(h[:, k, :], far_row[:, k, :], q[k], t[k], error) for k in range(b)]
+
+
+def _trace(h, far_row, item, text, error) -> list[tuple[int, int, int, int]]:
     i, j = np.unravel_index(int(h.argmax()), h.shape)
+    if h[i, j] <= 0:
+        return []
     pieces, now, end, start = [], [0, 0], i, i
     while h[i, j] > 0:
-        here = h[i, j]
-        if i and j and abs(h[i - 1, j - 1] + step[i - 1, j - 1] - here) < 1e-9:
-            now[0 if equal[i - 1, j - 1] else 1] += 1
+        here, same = h[i, j], i and j and item[j - 1] == text[i - 1]
+        if i and j and h[i - 1, j - 1] + (MATCH if same else error) == here:
+            now[0 if same else 1] += 1
             i, j = i - 1, j - 1
             start = i
-        elif j and abs(h[i, j - 1] + error - here) < 1e-9:
+        elif j and h[i, j - 1] + error == here:
             now[1] += 1
             j -= 1
-        elif i and abs(h[i - 1, j] + error - here) < 1e-9:
+        elif i and h[i - 1, j] + error == here:
             now[1] += 1
             i -= 1
             start = i
         else:
-            pieces.append((now[0], now[1], start, end - 1))
+            pieces.append((now[0], now[1], int(start), int(end) - 1))
             i = int(far_row[i, j])
             now, end, start = [0, 0], i, i
-    pieces.append((now[0], now[1], start, end - 1))
+    pieces.append((now[0], now[1], int(start), int(end) - 1))
     return pieces[::-1]
 
 
+def align(item: np.ndarray, text: np.ndarray, error: int = ERROR, jump: int = JUMP) -> list[tuple[int, int, int, int]]:
+    return align_many([item], [text], error, jump)[0]
+
+
+def _counts(pieces, min_words: int, slack: float, min_piece: int) -> tuple[int, int] | None:
+    # A stretch is an interjection only between longer pieces; else the better side stands alone.
+    while len(pieces) > 1 and min(p[0] for p in pieces) < min_piece:
+        k = min(range(len(pieces)), key=lambda k: pieces[k][0])
+        pieces = max(pieces[:k], pieces[k + 1 :], key=lambda part: sum(p[0] for p in part)) if 0 < k < len(pieces) - 1 else (pieces[1:] if k == 0 else pieces[:-1])
+    matched, errors = sum(p[0] for p in pieces), sum(p[1] for p in pieces)
+    return (matched, errors) if matched >= min_words and errors <= slack * matched else None
+
+
+def leaked_many(items: list[np.ndarray], texts: list[np.ndarray], min_words: int, slack: float, min_piece: int) -> list[tuple[int, int] | None]:
+    """(matched words, errors) of each pair's passage that counts, else None. What fails is tried again with a higher price for errors, which cuts loose ends."""
+    out: list = [None] * len(items)
+    left = sorted(range(len(items)), key=lambda k: (len(texts[k]), len(items[k])))
+    for error in (ERROR, ERROR - 1):
+        failed = []
+        for at in range(0, len(left), SIDE_BY_SIDE):
+            part = left[at : at + SIDE_BY_SIDE]
+            for k, pieces in zip(part, align_many([items[k] for k in part], [texts[k] for k in part], error)):
+                out[k] = _counts(pieces, min_words, slack, min_piece)
+                if out[k] is None and sum(p[0] for p in pieces) >= min_words:
+                    failed.append(k)
+        left = failed
+    return out
+
+
 def leaked(item: np.ndarray, text: np.ndarray, min_words: int, slack: float, min_piece: int) -> tuple[int, int] | None:
-    """(matched words, errors) of a passage that counts, else None."""
-    for error in (ERROR, 1.5 * ERROR):
-        pieces = align(item, text, error)
-        # A stretch is an interjection only between longer pieces; else the better side stands alone.
-        while len(pieces) > 1 and min(p[0] for p in pieces) < min_piece:
-            k = min(range(len(pieces)), key=lambda k: pieces[k][0])
-            pieces = max(pieces[:k], pieces[k + 1 :], key=lambda part: sum(p[0] for p in part)) if 0 < k < len(pieces) - 1 else (pieces[1:] if k == 0 else pieces[:-1])
-        matched, errors = sum(p[0] for p in pieces), sum(p[1] for p in pieces)
-        if matched >= min_words and errors <= slack * matched:
-            return matched, errors
-    return None
+    return leaked_many([item], [text], min_words, slack, min_piece)[0]
 
 
 def _blocks(items: list[tuple], budget: int):
@@ -186,7 +217,7 @@ def _search(docs, block, n_docs, id_type, out_schema, min_words, slack, common_s
         skip = frequent.value
         coded: dict[int, tuple] = {}
         for b in batches:
-            found = []
+            pairs, queries, pieces = [], [], []
             for doc, w, grams, at in zip(b["_doc"], b["_words"], b["_grams"], b["_places"]):
                 near = defaultdict(list)
                 for g, p in zip(grams, at):
@@ -202,18 +233,22 @@ def _search(docs, block, n_docs, id_type, out_schema, min_words, slack, common_s
                         coded[k] = (number, np.array([number.setdefault(x, len(number)) for x in texts[k][1]]))
                     number, item = coded[k]
                     hits.sort()
-                    m, best, start = len(item), None, 0
+                    m, start = len(item), 0
                     for q in range(1, len(hits) + 1):
                         if q == len(hits) or hits[q][0] - hits[q - 1][0] > 2 * m + 24:
                             if len({g for _, g in hits[start:q]}) >= min_seeds:
                                 lo, hi = max(0, hits[start][0] - m - 12), hits[q - 1][0] + GRAM + m + 12
                                 piece = np.array([number.get(x, -1) for x in w[lo:hi]])
-                                got = leaked(item, piece, min_words, slack, min_piece)
-                                if got and (best is None or got > best):
-                                    best = got
+                                # No passage with its interjection is longer than the overlap.
+                                for first in range(0, max(1, len(piece) - 4 * m - 64), STRETCH):
+                                    pairs.append((doc, texts[k][0]))
+                                    queries.append(item)
+                                    pieces.append(piece[first : first + STRETCH + 4 * m + 64])
                             start = q
-                    if best:
-                        found.append((doc, texts[k][0], *best))
+            found = []
+            for at in range(0, len(pairs), 4096):
+                part = slice(at, at + 4096)
+                found += [(*pair, *got) for pair, got in zip(pairs[part], leaked_many(queries[part], pieces[part], min_words, slack, min_piece)) if got]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "matched", "errors"])
 
     return spread(passages).mapInPandas(aligned, out_schema).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("errors")).alias("e"))).alias("b")).select("doc_id", "item_id", F.col("b.matched").alias("matched"), (-F.col("b.e")).cast("int").alias("errors"))
