@@ -10,9 +10,9 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 #: A word broken at a line end: hyphen (plain, soft or typographic), line break, lower-case rest.
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑­][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _INVISIBLE = re.compile("[­​‌‍⁠﻿]")
-_GROUPED = re.compile(r"(?<![\d.,])(\d{1,3})((?:[,' ’ _]\d{3})+)(?!\d)")
-_DOTTED = re.compile(r"(?<![\d.,])(\d{1,3})((?:\.\d{3}){2,})(?![\d.])")
-_DECIMAL_COMMA = re.compile(r"(?<=\d),(?=\d{1,2}(?!\d))")
+#: Digits in groups of three; patterns that begin with a digit are searched fast.
+_GROUPED = re.compile(r"\d+(?:(?:[,' ’ _]\d{3})+(?!\d)|(?:\.\d{3}){2,}(?![.\d]))")
+_DECIMAL_COMMA = re.compile(r"(\d),(?=\d{1,2}(?!\d))")
 _WORD = re.compile(r"\d+(?:\.\d+)?|[^\W\d_]+")
 #: A lead byte of UTF-8 and what may follow it, both read as single bytes.
 _FOLLOWING = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
@@ -46,20 +46,27 @@ def _one(m: re.Match) -> str:
 
 def plain(text: str) -> str:
     """The text without markup, with broken words joined and characters in their usual width."""
-    s = repair(text)
+    s = text if text.isascii() else repair(text)
     if "<" in s:
         s = _TAG.sub(" ", s)
     if "&" in s:
         s = html.unescape(s)
-    s = _BROKEN.sub("", s)
-    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", s))
+    if "\n" in s:
+        s = _BROKEN.sub("", s)
+    return s if s.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", s))
+
+
+def _join(m: re.Match) -> str:
+    """One number, if its first group has at most three digits and it is no tail of another number."""
+    head = re.match(r"\d+", m[0])[0]
+    tail = m.start() > 1 and m.string[m.start() - 1] in ".," and m.string[m.start() - 2].isdigit()
+    return m[0] if len(head) > 3 or tail else re.sub(r"\D", "", m[0])
 
 
 def words(text: str) -> list[str]:
     """Lower-case words and numbers in order; signs, currency and percent words are left out, grouped digits joined."""
     s = plain(text).lower()
-    joined = lambda m: m[1] + re.sub(r"\D", "", m[2])
-    s = _DECIMAL_COMMA.sub(".", _DOTTED.sub(joined, _GROUPED.sub(joined, s)))
+    s = _DECIMAL_COMMA.sub(r"\1.", _GROUPED.sub(_join, s))
     out = []
     for w in _WORD.findall(s):
         if w[0].isdigit():
