@@ -60,26 +60,28 @@ def parse_day_files(files: DataFrame) -> DataFrame:
     header alone, a blank or broken-off line, an unknown header or a null payload, gives no row. With a separator
     other than the comma, a comma inside a number is a decimal comma.
     """
-    lines = F.split(F.col("payload"), "\r\n|\n|\r")
-    f = files.select("file_id", lines.alias("_lines")).withColumn("_h", F.array_position(F.transform("_lines", lambda s: F.trim(s) != ""), True).cast("int"))
-    f = f.where("_h > 0 and size(_lines) > _h").withColumn("_head", F.regexp_replace(F.lower(F.get("_lines", F.col("_h") - 1)), '["﻿]', ""))
+    # A one-element explode is a border for the optimizer: what stands before it is computed once, not once per use.
+    once = lambda x: F.explode(F.array(x))
+    f = files.where("payload is not null and payload <> ''").select("file_id", once(F.split("payload", "\r\n|\n|\r")).alias("_lines"))
+    # Mostly the first line is the header: only files that start blank are searched for it.
+    header_at = F.when(F.trim(F.get("_lines", F.lit(0))) != "", 1).otherwise(F.array_position(F.transform("_lines", lambda s: F.trim(s) != ""), True).cast("int"))
+    f = f.select("file_id", "_lines", header_at.alias("_h")).where("_h > 0 and size(_lines) > _h")
+    f = f.select("file_id", "_lines", "_h", once(F.translate(F.lower(F.get("_lines", F.col("_h") - 1)), '"\ufeff', "")).alias("_head"))
     sep = F.when(F.col("_head").contains(";"), ";").when(F.col("_head").contains("\t"), "\t").when(F.col("_head").contains("|"), "|").otherwise(",")
-    f = f.withColumn("_sep", sep)
-    names = F.transform(F.split("_head", F.concat(F.lit("["), F.col("_sep"), F.lit("]"))), lambda s: F.trim(s))
-    f = f.withColumn("_names", names).where(F.size(F.array_intersect("_names", F.array(*map(F.lit, FIELDS)))) == len(FIELDS))
-    places = [F.array_position("_names", F.lit(n)).cast("int").alias(f"_p{i}") for i, n in enumerate(FIELDS)]
-    f = f.select("file_id", "_h", "_sep", F.size("_names").alias("_n"), *places, F.posexplode("_lines").alias("_at", "_line")).where("_at >= _h and trim(_line) <> ''")
-    f = f.withColumn("_v", F.transform(F.split("_line", F.concat(F.lit("["), F.col("_sep"), F.lit("]")), -1), lambda s: F.trim(F.regexp_replace(s, '"', "")))).where("size(_v) = _n")
-    text = [F.get("_v", F.col(f"_p{i}") - 1) for i in range(len(FIELDS))]
-    number = [F.when(F.col("_sep") == ",", s).otherwise(F.regexp_replace(s, ",", ".")) for s in text]
-    return f.select(
-        "file_id",
-        (F.col("_at") + 1).cast("bigint").alias("line_no"),
-        F.when(text[0] != "", F.upper(text[0])).alias("ticker"),
-        # Nanoseconds have 19 digits, more than a double holds.
-        number[1].try_cast("decimal(30,6)").alias("window_start"),
-        *[number[i].try_cast("double").alias(FIELDS[i]) for i in range(2, 8)],
-    ).where(" and ".join(f"{n} is not null" for n in FIELDS))
+    # A separator that is a constant is split without compiling a pattern for each line.
+    cut = lambda text, by: F.when(by == ",", F.split(text, ",")).when(by == ";", F.split(text, ";")).when(by == "\t", F.split(text, "\t")).otherwise(F.split(text, "\\|"))
+    f = f.withColumn("_sep", sep).select("file_id", "_lines", "_h", "_sep", once(F.transform(cut(F.col("_head"), F.col("_sep")), lambda s: F.trim(s))).alias("_names"))
+    places = F.struct(*[F.array_position("_names", F.lit(n)).cast("int").alias(n) for n in FIELDS])
+    f = f.select("file_id", "_lines", "_h", "_sep", F.size("_names").alias("_n"), once(places).alias("_at")).where(" and ".join(f"_at.{n} > 0" for n in FIELDS))
+    f = f.select("file_id", "_h", "_sep", "_n", "_at", F.posexplode("_lines").alias("_no", "_line")).where("_no >= _h and trim(_line) <> ''")
+    f = f.select("file_id", "_no", "_sep", "_n", "_at", once(cut(F.translate("_line", '"', ""), F.col("_sep"))).alias("_v")).where("size(_v) = _n")
+    text = {n: F.trim(F.get("_v", F.col(f"_at.{n}") - 1)) for n in FIELDS}
+    number = {n: F.when(F.col("_sep") == ",", s).otherwise(F.translate(s, ",", ".")) for n, s in text.items()}
+    # Nanoseconds have 19 digits, more than a double holds.
+    start = F.coalesce(number["window_start"].try_cast("bigint").cast("decimal(30,6)"), number["window_start"].try_cast("decimal(30,6)"))
+    values = F.struct(F.when(text["ticker"] != "", F.upper(text["ticker"])).alias("ticker"), start.alias("window_start"), *[number[n].try_cast("double").alias(n) for n in FIELDS[2:]])
+    f = f.select("file_id", (F.col("_no") + 1).cast("bigint").alias("line_no"), once(values).alias("_r")).where(" and ".join(f"_r.{n} is not null" for n in FIELDS))
+    return f.select("file_id", "line_no", *[F.col(f"_r.{n}").alias(n) for n in FIELDS])
 
 
 def consolidate_day_files(files: DataFrame, out: str | None = None, target_bytes: int = 32 << 20) -> DataFrame:
