@@ -116,6 +116,25 @@ def universe(snapshots: DataFrame, date, as_of) -> DataFrame:
     return top.select("index_id", F.explode("symbols").alias("symbol"))
 
 
+def membership_intervals(snapshots: DataFrame, as_of) -> DataFrame:
+    """(index_id, symbol, valid_from, valid_to): members from each effective date up to (not including) the next one; null if none follows."""
+    s = snapshots_as_of(snapshots, as_of).withColumn("valid_to", F.lead("effective_date").over(Window.partitionBy("index_id").orderBy("effective_date")))
+    return s.select("index_id", F.explode("symbols").alias("symbol"), F.col("effective_date").alias("valid_from"), "valid_to")
+
+
+def universe_panel(prices: DataFrame, events: DataFrame, snapshots: DataFrame, index: str, fields: Sequence[str], start, end, as_of, adj: str = "split", membership: str = "end", order: Sequence[str] = ("as_of_date",)) -> DataFrame:
+    """The adjusted panel of an index. 'end': its members at the end of the period over all of it; 'daily': each bar only while its symbol was a member."""
+    if membership not in ("end", "daily"):
+        raise ValueError(f"membership must be end or daily, not {membership!r}")
+    own = snapshots.where(norm_key(F.col("index_id")) == index.strip().upper())
+    if membership == "end":
+        return read_panel(prices, events, fields, start, end, as_of, adj, universe(own, end, as_of), order)
+    spans = membership_intervals(own, as_of)
+    panel = read_panel(prices, events, fields, start, end, as_of, adj, spans.select("symbol").distinct(), order)
+    # Intervals of one symbol do not overlap, so a bar meets at most one.
+    return panel.join(spans.select("symbol", "valid_from", "valid_to"), "symbol").where((F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to")))).select("date", "symbol", *fields)
+
+
 def union_over_range(snapshots: DataFrame, start, end, as_of) -> DataFrame:
     """(index_id, symbol): everyone who was a member at some time of the range, free of survivorship."""
     s = snapshots_as_of(snapshots, as_of).withColumn("_until", F.lead("effective_date").over(Window.partitionBy("index_id").orderBy("effective_date")))
