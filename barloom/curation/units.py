@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.runtime import broadcast_if_small, norm_key
+from barloom.runtime import broadcast_if_small, norm_key, stage, staged_small
 
 VOLUME_POWERS = tuple(range(0, 8))
 CASH_POWERS = (0, -1, -2, -3, -4)
@@ -142,8 +142,8 @@ def volume_units(prices: DataFrame, notes: DataFrame) -> DataFrame:
     anchored = len(docs) > 0
     level = F.col("x") + (doc if anchored else F.lit(0))
     scale = p.groupBy("symbol").agg(F.percentile_approx(level, 0.5, 1000).alias("s"))
-    cells = p.join(broadcast_if_small(scale.where("s is not null and symbol is not null"), 1_000_000), "symbol", "left")
-    fit = _fit(cells, F.col("x") - F.col("s"), VOLUME_POWERS, docs)
+    cells = p.join(staged_small(scale.where("s is not null and symbol is not null"), "trade-size", 1_000_000), "symbol", "left")
+    fit = stage(_fit(cells, F.col("x") - F.col("s"), VOLUME_POWERS, docs), "volume-units")  # a row per vendor and day, read more than once
     return fit if anchored else fit.withColumn("unique_fit", F.lit(False))
 
 
@@ -190,6 +190,7 @@ def dividend_units(events: DataFrame, prices: DataFrame, notes: DataFrame) -> Da
         .select("event_id", "r.*")
     )
     # Each event asks for the ten days before its ex-date: an equi-join on (symbol, date), also for a hot symbol.
+    e = stage(e, "dividends")
     asked = e.where("f > 0 and f < 1 and stated is null and amount > 0").select("event_id", "symbol", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.date_sub("day", k))).alias("date"))
     closes = prices.where("close > 0").select(norm_key(F.col("symbol")).alias("symbol"), "date", F.col("close").cast("double").alias("close"))
     before = broadcast_if_small(asked).join(closes, ["symbol", "date"]).groupBy("event_id").agg(F.max_by("close", "date").alias("prev_close"))
@@ -197,6 +198,6 @@ def dividend_units(events: DataFrame, prices: DataFrame, notes: DataFrame) -> Da
     identity = F.log10(F.col("amount") / F.when((F.col("f") > 0) & (F.col("f") < 1), (1 - F.col("f")) * F.col("prev_close")))
     open_cells = e.where("stated is null and day is not null and amount > 0")
     fit = _fit(open_cells, identity, CASH_POWERS, docs)
-    out = e.join(broadcast_if_small(fit), ["vendor", "day"], "left")
+    out = e.join(staged_small(fit, "cash-units"), ["vendor", "day"], "left")
     power = F.coalesce("stated", "power", _doc_power(docs, F.col("vendor"), F.col("day")), F.lit(0))
     return out.select("event_id", "symbol", F.col("day").alias("ex_date"), F.col("amount").alias("recorded"), power.alias("power"), (F.col("amount") * F.pow(F.lit(10.0), power)).alias("usd_per_share"), F.coalesce(F.col("stated").isNotNull() | F.col("unique_fit"), F.lit(False)).alias("unique_fit"))
