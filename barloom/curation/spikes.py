@@ -136,7 +136,7 @@ def score_field(g: pd.DataFrame, value: str, field: str, usual: np.ndarray | Non
     same = (g.symbol == g.symbol.shift()) & (g.vendor == g.vendor.shift()) & (g[value] == g[value].shift())
     repeat = same & (g.bar - g.bar.shift() == 1)
     run_id = (~repeat).cumsum()
-    g["repeat"], g["run"], g["run_first"] = repeat, run_id.map(run_id.value_counts()), ~repeat
+    g["repeat"], g["run"], g["run_first"] = repeat, np.bincount(run_id)[run_id], ~repeat
     g = g.sort_values(["symbol", "vendor", "day", value], kind="stable")
     source = pd.factorize(pd.MultiIndex.from_frame(g[["symbol", "vendor"]]))[0]
     post = posteriors(g.z.to_numpy(float), g.repeat.to_numpy(bool), ~g.good.to_numpy(bool), source)
@@ -145,13 +145,17 @@ def score_field(g: pd.DataFrame, value: str, field: str, usual: np.ndarray | Non
 
 def _score(min_run: int):
     def score(g: pd.DataFrame) -> pd.DataFrame:
+        # Numbers sort and group faster than names.
+        (sym, symbols), (ven, vendors) = pd.factorize(g["symbol"]), pd.factorize(g["vendor"])
+        g = g.assign(symbol=sym, vendor=ven)
         parts = []
         for field, frame in (("close", score_field(g, "close", "close")), ("volume", score_field(g, "volume", "volume", "usual", "spread"))):
             stuck = (frame.p_stuck > 0.5) & (frame.run >= min_run) & ~frame.run_first.astype(bool)
             state = np.where(frame.p_out > 0.5, "out_of_range", np.where(stuck, "stuck", np.where(frame.p_spike > 0.5, "spike", "")))
             # A spike and a repeat of it are told apart by the run, not by the state that won.
             parts.append(frame.assign(field_name=field, state=state)[["symbol", "vendor", "day", "value", "field_name", "state", "z"]][state != ""])
-        return pd.concat(parts, ignore_index=True)
+        out = pd.concat(parts, ignore_index=True)
+        return out.assign(symbol=symbols.to_numpy()[out["symbol"].to_numpy(int)], vendor=vendors.to_numpy()[out["vendor"].to_numpy(int)])
 
     return score
 
@@ -179,8 +183,8 @@ def flag_implausible(prices: DataFrame, units: DataFrame, *, min_run: int = 6, r
     log_volume = F.when(F.col("volume") > 0, F.ln("volume"))
     usual = p.where("symbol is not null").groupBy("symbol").agg(F.percentile_approx(log_volume, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
     usual = usual.select("symbol", F.col("q")[1].alias("usual"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"))
-    grouped = readings.join(staged_small(usual, "usual", 1_000_000), "symbol").withColumn("_g", F.pmod(F.xxhash64("symbol"), F.lit(n_groups)))
-    flags = grouped.groupBy("_g").applyInPandas(lambda g: _score(min_run)(g), "symbol string, vendor string, day date, value double, field_name string, state string, z double")
+    grouped = readings.join(staged_small(usual, "usual", 1_000_000), "symbol").withColumns({"_g": F.pmod(F.xxhash64("symbol"), F.lit(n_groups)), "day": F.unix_date("day")})
+    flags = grouped.groupBy("_g").applyInPandas(_score(min_run), "symbol string, vendor string, day int, value double, field_name string, state string, z double").withColumn("day", F.date_from_unix_date("day"))
     row = p.select("row_id", "symbol", "vendor", "day", F.explode(F.array(F.struct(F.lit("close").alias("field_name"), F.col("close").alias("value")), F.struct(F.lit("volume").alias("field_name"), F.col("volume").alias("value")))).alias("_v")).select("row_id", "symbol", "vendor", "day", "_v.*").where("value is not null")
     hit = row.join(staged_small(flags.select("symbol", "vendor", "day", "value", "field_name", "state"), "flags"), ["symbol", "vendor", "day", "value", "field_name"])
     orphan = row.where("(symbol is null or day is null) and value <= 0").withColumn("state", F.lit("out_of_range"))
