@@ -57,24 +57,30 @@ def posteriors(z: np.ndarray, repeat: np.ndarray, broken: np.ndarray, source: np
     e[:, STUCK] = student + rep(REPEAT_STUCK)
     e[:, OUT] = -60.0
     e[broken] = [-60.0, -60.0, -60.0, 0.0]
+    e = np.exp(e - e.max(axis=1, keepdims=True))
     first = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
     length = np.diff(np.r_[first, n])
-    seq = np.repeat(np.arange(len(first)), length)
-    pos = np.arange(n) - first[seq]
-    s, t = len(first), int(length.max())
-    em = np.zeros((t, s, 4))
+    # Longest sequences first, so that those still going on at a step are the first ones.
+    order = np.argsort(-length, kind="stable")
+    place = np.empty(len(first), int)
+    place[order] = np.arange(len(first))
+    seq = np.repeat(place, length)
+    pos = np.arange(n) - np.repeat(first, length)
+    t = int(length.max())
+    alive = np.searchsorted(-length[order], -np.arange(t), side="left")  # sequences longer than the step
+    em = np.ones((t, len(first), 4))
     em[pos, seq] = e
-    alive = np.arange(t)[:, None] < length[None, :]
-    fwd, bwd = np.empty((t, s, 4)), np.zeros((t, s, 4))
-    fwd[0] = START + em[0]
+    move, fwd, bwd = np.exp(MOVE), np.ones((t, len(first), 4)), np.ones((t, len(first), 4))
+    fwd[0] = np.exp(START) * em[0]
+    fwd[0] /= fwd[0].sum(axis=1, keepdims=True)
     for k in range(1, t):
-        fwd[k] = np.logaddexp.reduce(fwd[k - 1][:, :, None] + MOVE, axis=1) + em[k]
+        now = (fwd[k - 1, : alive[k]] @ move) * em[k, : alive[k]]
+        fwd[k, : alive[k]] = now / now.sum(axis=1, keepdims=True)
     for k in range(t - 2, -1, -1):
-        nxt = np.logaddexp.reduce(MOVE[None] + (em[k + 1] + bwd[k + 1])[:, None, :], axis=2)
-        bwd[k] = np.where(alive[k + 1][:, None], nxt, 0.0)
-    post = (fwd + bwd)[pos, seq]
-    post -= np.logaddexp.reduce(post, axis=1)[:, None]
-    return np.exp(post)
+        now = (em[k + 1, : alive[k + 1]] * bwd[k + 1, : alive[k + 1]]) @ move.T
+        bwd[k, : alive[k + 1]] = now / now.sum(axis=1, keepdims=True)
+    post = (fwd * bwd)[pos, seq]
+    return post / post.sum(axis=1, keepdims=True)
 
 
 def _around(level: np.ndarray, group: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
