@@ -31,21 +31,11 @@ def only_finite(x: Column) -> Column:
     return F.when(finite(x), x)
 
 
-def safe_ratio(a: Column, b: Column) -> Column:
-    """a / b where b is positive, else missing."""
-    return F.when(b > 0, a / F.when(b > 0, b))
-
-
 def truth(c: Column) -> Column:
     """A condition as 1.0, 0.0 or missing."""
     return c.cast("double")
 
 
-def pearson_of(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), (sxy - sx * sy / n) / F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))
-
-
 def pearson(x: Column, y: Column) -> Column:
     """Correlation as an aggregate; missing below two pairs or without variance (``corr`` would raise)."""
     sx, sy = F.stddev_pop(x), F.stddev_pop(y)
