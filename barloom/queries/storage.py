@@ -52,6 +52,20 @@ def universe_panel_daily(spark, d):
     return _universe_panel(spark, d, "daily")
 
 
+def _universe_panels(spark, d, membership):
+    tables = (table(spark, d, t) for t in ("price_raw", "adj_events", "universe_snapshots"))
+    return S.universe_panels(*tables, ["close"], START, END, AS_OF, membership=membership, order=ORDER).select("index_id", "symbol", "date", *_r("close"))
+
+
+def universe_panels_end(spark, d):
+    """The panels of all indices; universe_panel_end is that of the first one."""
+    return _universe_panels(spark, d, "end")
+
+
+def universe_panels_daily(spark, d):
+    return _universe_panels(spark, d, "daily")
+
+
 def universe_union(spark, d):
     return S.union_over_range(table(spark, d, "universe_snapshots"), "2021-09-01", "2022-03-31", AS_OF)
 
@@ -104,6 +118,8 @@ ORACLES = {
     "universe_asof": "with " + _SNAP.format(as_of="2022-01-15") + " select index_id, unnest(arg_max(symbols, effective_date)) as symbol from sn where effective_date <= date '2021-12-31' group by index_id",
     "universe_panel_end": _ADJ + ", " + _SNAP.format(as_of=AS_OF) + f", u as (select unnest(arg_max(symbols, effective_date)) as symbol from sn where index_id = (select min(index_id) from sn) and effective_date <= date '{END}') select symbol, date, round(close / r, 5) as close from adj where date >= date '{START}' and symbol in (select symbol from u)",
     "universe_panel_daily": _ADJ + ", " + _SNAP.format(as_of=AS_OF) + f", u as (select unnest(symbols) as symbol, effective_date as a, lead(effective_date) over (order by effective_date) as b from sn where index_id = (select min(index_id) from sn)) select adj.symbol, date, round(close / r, 5) as close from adj join u on u.symbol = adj.symbol and date >= a and (b is null or date < b) where date >= date '{START}'",
+    "universe_panels_end": _ADJ + ", " + _SNAP.format(as_of=AS_OF) + f", u as (select index_id, unnest(arg_max(symbols, effective_date)) as symbol from sn where effective_date <= date '{END}' group by index_id) select index_id, symbol, date, round(close / r, 5) as close from adj join u using (symbol) where date >= date '{START}'",
+    "universe_panels_daily": _ADJ + ", " + _SNAP.format(as_of=AS_OF) + f", u as (select index_id, unnest(symbols) as symbol, effective_date as a, lead(effective_date) over (partition by index_id order by effective_date) as b from sn) select index_id, adj.symbol, date, round(close / r, 5) as close from adj join u on u.symbol = adj.symbol and date >= a and (b is null or date < b) where date >= date '{START}'",
     "universe_union": "with " + _SNAP.format(as_of=AS_OF) + ", u as (select *, lead(effective_date) over (partition by index_id order by effective_date) as until from sn) select distinct index_id, unnest(symbols) as symbol from u where effective_date <= date '2022-03-31' and (until is null or until > date '2021-09-01')",
     "universe_changes": "with " + _SNAP.format(as_of=AS_OF) + """, c as (select *, lag(symbols) over (partition by index_id order by effective_date) as b from sn)
 select index_id, effective_date, len(symbols)::int as n_members, coalesce(array_to_string(list_sort(list_filter(symbols, lambda s: b is null or not list_contains(b, s))), ','), '') as joined,

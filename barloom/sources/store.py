@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import finite
-from barloom.runtime import norm_key
+from barloom.runtime import norm_key, staged_small
 from barloom.sources.files import latest
 
 MODES = {"none": "none", "split": "split", "total": "total", "forward": "total"}
@@ -135,6 +135,29 @@ def universe_panel(prices: DataFrame, events: DataFrame, snapshots: DataFrame, i
     return panel.join(spans.select("symbol", "valid_from", "valid_to"), "symbol").where((F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to")))).select("date", "symbol", *fields)
 
 
+def membership_stays(snapshots: DataFrame, as_of) -> DataFrame:
+    """(index_id, symbol, valid_from, valid_to): :func:`membership_intervals` with those that follow on one another united."""
+    own = Window.partitionBy("index_id", "symbol").orderBy("valid_from")
+    s = membership_intervals(snapshots, as_of).withColumn("_new", (~F.lag("valid_to").over(own).eqNullSafe(F.col("valid_from"))).cast("int"))
+    s = s.withColumn("_stay", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy("index_id", "symbol", "_stay").agg(F.min("valid_from").alias("valid_from"), F.max_by("valid_to", "valid_from").alias("valid_to")).drop("_stay")
+
+
+def universe_panels(prices: DataFrame, events: DataFrame, snapshots: DataFrame, fields: Sequence[str], start, end, as_of, adj: str = "split", membership: str = "end", order: Sequence[str] = ("as_of_date",)) -> DataFrame:
+    """(index_id, date, symbol, *fields): the adjusted panels of all indices. 'end': members at the end of the period over all of it; 'daily': each bar only while its symbol was a member.
+
+    Every bar is read and adjusted once, however many indices its symbol is in.
+    """
+    if membership not in ("end", "daily"):
+        raise ValueError(f"membership must be end or daily, not {membership!r}")
+    members = staged_small(universe(snapshots, end, as_of) if membership == "end" else membership_stays(snapshots, as_of), "members")
+    panel = read_panel(prices, events, fields, start, end, as_of, adj, members.select("symbol"), order).join(members, "symbol")
+    if membership == "daily":
+        # Stays of one symbol in one index do not overlap, so a bar meets at most one of each index.
+        panel = panel.where((F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to"))))
+    return panel.select("index_id", "date", "symbol", *fields)
+
+
 def union_over_range(snapshots: DataFrame, start, end, as_of) -> DataFrame:
     """(index_id, symbol): everyone who was a member at some time of the range, free of survivorship."""
     s = snapshots_as_of(snapshots, as_of).withColumn("_until", F.lead("effective_date").over(Window.partitionBy("index_id").orderBy("effective_date")))

@@ -8,7 +8,7 @@ from barloom.library.analysis import classical_mds, lineage, pairwise_similarity
 from barloom.library.sharing import PrecomputeStore, panel_fingerprint
 from barloom.library.store import FactorLibrary
 from barloom.sources import files as S
-from barloom.sources.store import forward_adjust, membership_changes, prices_as_of, read_panel, resample, universe
+from barloom.sources.store import forward_adjust, membership_changes, membership_stays, prices_as_of, read_panel, resample, universe, universe_panels
 
 D = dt.date
 PX = "date date, symbol string, close double, volume double"
@@ -59,6 +59,34 @@ def test_universe(spark):
     assert [(r.effective_date, r.joined, r.left) for r in membership_changes(s, "2024-12-31").orderBy("effective_date").collect()][1] == (D(2024, 2, 1), ["C"], ["A"])
 
 
+def test_panels_of_all_indices(spark):
+    days = [D(2024, 1, 1) + dt.timedelta(days=i) for i in range(4)]
+    p = spark.createDataFrame([(d, s, 1.0, 1.0, D(2024, 1, 1)) for d in days for s in "ABCZ"], PX + ", as_of_date date")
+    e = spark.createDataFrame([], EV + ", event_id string, as_of_date date")
+    s = spark.createDataFrame([
+        ("i1", days[0], ["A", "B"], days[0]), ("I1", days[1], ["A"], days[1]), ("i1", days[2], ["a", "B"], days[2]), ("i2", days[1], ["B", "C"], days[1]),
+    ], S.SNAPSHOTS)
+    got = lambda m: sorted((r.index_id, r.symbol, r.date.day) for r in universe_panels(p, e, s, ["close"], days[0], days[3], "2024-12-31", membership=m).collect())
+    assert got("end") == sorted((i, x, d) for i, xs in (("I1", "AB"), ("I2", "BC")) for x in xs for d in (1, 2, 3, 4))
+    assert got("daily") == sorted([("I1", "A", d) for d in (1, 2, 3, 4)] + [("I1", "B", d) for d in (1, 3, 4)] + [("I2", x, d) for x in "BC" for d in (2, 3, 4)])
+    stays = {(r.index_id, r.symbol, r.valid_from.day, r.valid_to and r.valid_to.day) for r in membership_stays(s, "2024-12-31").collect()}
+    assert stays == {("I1", "A", 1, None), ("I1", "B", 1, 2), ("I1", "B", 3, None), ("I2", "B", 2, None), ("I2", "C", 2, None)}
+
+
+@pytest.mark.parametrize("name", ["universe_panels_end", "universe_panels_daily", "universe_panel_end", "universe_panel_daily"])
+def test_panels_equal_sql(spark, data, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("price_raw", "adj_events", "universe_snapshots"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(map(str, r)) for r in entry.queries()[name](spark, data).select(*names).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
 def test_upsert(spark, tmp_path):
     path = f"{tmp_path}/prices"
     one = spark.createDataFrame([(D(2024, 1, 1), "A", 1.0), (D(2024, 2, 1), "A", 2.0), (D(2024, 1, 1), "A", 9.0)], "date date, symbol string, close double").withColumn("month", F.month("date"))
