@@ -3,9 +3,10 @@
 1. Items are cut into word trigrams, in blocks of bounded size; every block is broadcast and met by all documents.
 2. Each document keeps the trigrams it shares with items. Their document frequencies are counted over
    all documents. A trigram is common, and no seed, only if it stands in many documents *and* in several items:
-   an item copied into a third of the corpus keeps its own trigrams, however frequent they have become.
-3. Where seeds of an item gather in a document, the words around them are aligned with the item (local
-   alignment on words). A stretch of foreign words between two longer pieces costs a fixed amount, whatever its length.
+   an item copied into a third of the corpus keeps its own trigrams, however frequent they have become. Items of
+   equal words count once.
+3. Where seeds of an item gather in a document, or as many trigrams of any kind as every passage keeps, the words
+   around them are aligned with the item (local alignment on words). A stretch of foreign words between two longer pieces costs a fixed amount, whatever its length.
 """
 
 from __future__ import annotations
@@ -121,15 +122,26 @@ def leaked(item: np.ndarray, text: np.ndarray, min_words: int, slack: float, min
 
 
 def _blocks(items: list[tuple], budget: int):
-    block, size = [], 0
+    """Blocks of (ids, words); items of equal words in a block are one entry."""
+    block, size = {}, 0
     for key, w in items:
         if block and size + len(w) > budget:
-            yield block
-            block, size = [], 0
-        block.append((key, w))
+            yield [(ids, list(x)) for x, ids in block.items()]
+            block, size = {}, 0
+        block.setdefault(tuple(w), []).append(key)
         size += len(w)
     if block:
-        yield block
+        yield [(ids, list(x)) for x, ids in block.items()]
+
+
+def _gathered(hits: list[tuple[int, int]], m: int, least: int, n: int):
+    """Stretches [lo, hi) of n words around the hits (place, trigram) that hold ``least`` different trigrams of an item of m words."""
+    start = 0
+    for q in range(1, len(hits) + 1):
+        if q == len(hits) or hits[q][0] - hits[q - 1][0] > 2 * m + 24:
+            if len({g for _, g in hits[start:q]}) >= least:
+                yield max(0, hits[start][0] - m - 12), min(n, hits[q - 1][0] + GRAM + m + 12)
+            start = q
 
 
 def leaked_items(
@@ -160,14 +172,14 @@ def leaked_items(
 def _search(docs, block, n_docs, id_type, out_schema, min_words, slack, common_share, common_items, min_seeds, min_piece) -> DataFrame:
     spark = docs.sparkSession
     gram_no: dict[tuple, int] = {}
-    places: list[list[tuple[int, int]]] = []
+    items_of: list[list[int]] = []
     for k, (_, w) in enumerate(block):
-        for at in range(len(w) - GRAM + 1):
-            no = gram_no.setdefault(tuple(w[at : at + GRAM]), len(gram_no))
-            if no == len(places):
-                places.append([])
-            places[no].append((k, at))
-    seeds = spark.sparkContext.broadcast((gram_no, places, block))
+        for key in dict.fromkeys(zip(w, w[1:], w[2:])):
+            no = gram_no.setdefault(key, len(gram_no))
+            if no == len(items_of):
+                items_of.append([])
+            items_of[no].append(k)
+    seeds = spark.sparkContext.broadcast((gram_no, [np.array(ks, np.int32) for ks in items_of], block))
 
     def shared(batches):
         known = seeds.value[0]
@@ -199,56 +211,55 @@ def _search(docs, block, n_docs, id_type, out_schema, min_words, slack, common_s
     passages = stage(docs.mapInPandas(shared, f"_doc {id_type}, _words array<string>, _grams array<int>, _places array<int>"), "leak-passages")
     # Counted over all documents; at most one row per trigram of the block, so bounded by BLOCK_WORDS.
     frequency = passages.select("_doc", F.explode(F.array_distinct("_grams")).alias("g")).distinct().groupBy("g").count().where(F.col("count") > max(20, common_share * n_docs))
-    in_items = [len({k for k, _ in p}) for p in places]
-    grams_of: list[set] = [set() for _ in block]
-    for no, p in enumerate(places):
-        for k in {k for k, _ in p}:
-            grams_of[k].add(no)
     # A passage of n matched words with at most slack * n errors and one interjection breaks at most GRAM - 1 trigrams at
     # each of them and at the ends, so it keeps this many; repeats within the item are allowed for.
     errors = math.floor(slack * min_words)
     least = max(min_seeds, min_words - (GRAM - 1) * (errors + 2) - 1)
-    contents = spark.sparkContext.broadcast(grams_of)
-    common = frozenset(r.g for r in frequency.collect() if in_items[r.g] >= common_items)
+    common = frozenset(r.g for r in frequency.collect() if len(items_of[r.g]) >= common_items)
     frequent = spark.sparkContext.broadcast(common)
 
     def aligned(batches):
-        known, places_of, texts = seeds.value
+        _, holders, texts = seeds.value
         skip = frequent.value
         coded: dict[int, tuple] = {}
         for b in batches:
             pairs, queries, pieces = [], [], []
             for doc, w, grams, at in zip(b["_doc"], b["_words"], b["_grams"], b["_places"]):
+                here = [int(g) for g in dict.fromkeys(grams)]
+                shared_with = np.bincount(np.concatenate([holders[g] for g in here]))
+                enough = shared_with >= least
+                if not enough.any():
+                    continue
+                likely = {g: ks for g in here if len(ks := holders[g][enough[holders[g]]])}
                 near = defaultdict(list)
                 for g, p in zip(grams, at):
-                    if g not in skip:
-                        for k, _ in places_of[g]:
-                            near[k].append((p, g))
-                here = frozenset(grams)
+                    for k in likely.get(g, ()):
+                        near[int(k)].append((p, g))
                 for k, hits in near.items():
-                    if len({g for _, g in hits}) < min_seeds or len(contents.value[k] & here) < least:
+                    hits.sort()
+                    m = len(texts[k][1])
+                    rare = [h for h in hits if h[1] not in skip]
+                    spans = list(_gathered(rare, m, min_seeds, len(w)))
+                    if len(rare) < len(hits):
+                        # Rare seeds may be missing where common ones alone make a passage.
+                        spans += [x for x in _gathered(hits, m, least, len(w)) if not any(lo <= x[0] and x[1] <= hi for lo, hi in spans)]
+                    if not spans:
                         continue
                     if k not in coded:
                         number: dict[str, int] = {}
                         coded[k] = (number, np.array([number.setdefault(x, len(number)) for x in texts[k][1]]))
                     number, item = coded[k]
-                    hits.sort()
-                    m, start = len(item), 0
-                    for q in range(1, len(hits) + 1):
-                        if q == len(hits) or hits[q][0] - hits[q - 1][0] > 2 * m + 24:
-                            if len({g for _, g in hits[start:q]}) >= min_seeds:
-                                lo, hi = max(0, hits[start][0] - m - 12), hits[q - 1][0] + GRAM + m + 12
-                                piece = np.array([number.get(x, -1) for x in w[lo:hi]])
-                                # No passage with its interjection is longer than the overlap.
-                                for first in range(0, max(1, len(piece) - 4 * m - 64), STRETCH):
-                                    pairs.append((doc, texts[k][0]))
-                                    queries.append(item)
-                                    pieces.append(piece[first : first + STRETCH + 4 * m + 64])
-                            start = q
+                    for lo, hi in spans:
+                        piece = np.array([number.get(x, -1) for x in w[lo:hi]])
+                        # No passage with its interjection is longer than the overlap.
+                        for first in range(0, max(1, len(piece) - 4 * m - 64), STRETCH):
+                            pairs.append((doc, k))
+                            queries.append(item)
+                            pieces.append(piece[first : first + STRETCH + 4 * m + 64])
             found = []
             for at in range(0, len(pairs), 4096):
                 part = slice(at, at + 4096)
-                found += [(*pair, *got) for pair, got in zip(pairs[part], leaked_many(queries[part], pieces[part], min_words, slack, min_piece)) if got]
+                found += [(doc, i, *got) for (doc, k), got in zip(pairs[part], leaked_many(queries[part], pieces[part], min_words, slack, min_piece)) if got for i in texts[k][0]]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "matched", "errors"])
 
     return spread(passages).mapInPandas(aligned, out_schema).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("errors")).alias("e"))).alias("b")).select("doc_id", "item_id", F.col("b.matched").alias("matched"), (-F.col("b.e")).cast("int").alias("errors"))

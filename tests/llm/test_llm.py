@@ -110,6 +110,18 @@ def test_leaks_in_blocks_and_empty(spark, leak_world, monkeypatch):
     assert L.leaked_items(d.limit(0), i).count() == 0 and L.leaked_items(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_leaks_of_repeated_items_in_many_documents(spark, same):
+    passage = " ".join(f"p{k}" for k in range(20))
+    ends = ["tail"] * 3 if same else ["red one", "blue two", "green three"]
+    items = [(k, f"{passage} {end}") for k, end in enumerate(ends)]
+    docs = [(n, f"start{n} {passage} end{n}" if n % 3 == 0 else f"a{n} b{n} c{n} p1 p2 p3") for n in range(90)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()}
+    assert got == {(n, k) for n in range(0, 90, 3) for k in range(3)} == brute(docs, items)
+
+
 # --- containers
 
 
