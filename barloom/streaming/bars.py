@@ -17,13 +17,14 @@ def stream_of(spark: SparkSession, folder: str, schema, glob: str | None = None,
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
 
 
-def windowed_bars(ticks: DataFrame, *, key: str, time: str, price: str, tiebreak: str, width: str = "1 hour", late: str = "2 hours", volume: str | None = None) -> DataFrame:
-    """(start, key, open, high, low, close, n, volume) of tumbling windows; ticks later than ``late`` are left to the batch path.
+def windowed_bars(ticks: DataFrame, *, key: str, time: str, price: str, tiebreak: str, width: str = "1 hour", late: str | None = "2 hours", volume: str | None = None) -> DataFrame:
+    """(start, key, open, high, low, close, n, volume) of tumbling windows; of a stream, ticks later than ``late`` are left to the batch path.
 
+    With ``late`` None a stream has no watermark: no tick is too late, in whatever order files come, and the state holds every window of the stream.
     Open and close are the first and last tick by (time, tiebreak). Null keys, times or prices do not count.
     """
     t = ticks.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(price).isNotNull())
-    if t.isStreaming:
+    if t.isStreaming and late is not None:
         t = t.withWatermark(time, late)
     order = F.struct(time, tiebreak)
     total = F.sum(volume) if volume else F.lit(None).cast("double")
