@@ -230,3 +230,36 @@ def test_propagation_equals_dense_means():
     assert got[0] == pytest.approx((1 * 1 + 2 * 0.5 * 4) / 2) and np.isnan(got[1]) and np.isnan(got[2])
     s = R.word_sums(b, np.array([3.0, 1.0, 0.0]), np.array([1.0, 0.5, 1.0]), 3)
     np.testing.assert_allclose(s, [[1, 0.5, 2], [3, 0.5, 6], [9, 0.5, 18]])
+
+
+def test_cut_points_with_counts():
+    rng = np.random.default_rng(5)
+    edges = np.linspace(1, 4, 241)
+    middle = (edges[:-1] + edges[1:]) / 2
+    grades, bins = np.repeat(np.arange(1, 5), 30), rng.integers(0, 240, 120)
+    counts = rng.integers(1, 60, 120)
+    density = np.bincount(bins, counts, 240).astype(float)
+    rows = R.cut_points(np.repeat(grades, counts), np.repeat(middle[bins], counts), density, edges, 4)
+    assert R.cut_points(grades, middle[bins], density, edges, 4, counts) == pytest.approx(rows)
+    # The same distribution, many times the size.
+    assert R.cut_points(grades, middle[bins], density * 5_000, edges, 4, counts * 5_000) == pytest.approx(rows)
+
+
+def test_weighted_median():
+    for n in (1, 2, 5, 6):
+        x, w = np.arange(n)[::-1] * 1.5, np.arange(1, n + 1)
+        assert R.weighted_median(x, w) == np.median(np.repeat(x, w))
+    assert np.isnan(R.weighted_median(np.zeros(0), np.zeros(0, int)))
+
+
+def test_every_graded_document_counts(spark, monkeypatch):
+    docs, _, grades = level_world(80)
+    text = dict(docs)
+    hot = [(g[0], text[g[0]]) for g in grades if text[g[0]]][0]
+    df = spark.createDataFrame(docs + [hot] * 1_500, "doc_id long, text string")
+    g = spark.createDataFrame(grades, "doc_id long, band double")
+    seen, real = [], R.cut_points
+    monkeypatch.setattr(R, "cut_points", lambda *a: seen.append(a) or real(*a))
+    got = R.reading_levels(df, g).count()
+    # Each graded row weighs: counts if they are given, else one for each row.
+    assert got > 1_500 and (sum(seen[0][5]) if len(seen[0]) > 5 else len(seen[0][0])) > 1_500
