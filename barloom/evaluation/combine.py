@@ -179,6 +179,10 @@ def _learned(method: str, train: DataFrame, everything: DataFrame, k: int, seed:
     return model.transform(gather.transform(everything)).select("symbol", "date", "factor"), _scaled(raw)
 
 
+#: Factors that are combined at once.
+MAX_FACTORS = 2_000
+
+
 def combine(factors: DataFrame, returns: DataFrame, splits: Splits, method: str = "ic_weight", *, names: Sequence[str] | None = None, how: str = "zscore", ridge: float = 1.0, seed: int = 0) -> dict:
     """Fit on the training dates, judge on each window.
 
@@ -190,7 +194,9 @@ def combine(factors: DataFrame, returns: DataFrame, splits: Splits, method: str
         raise ValueError(f"{method} is not available here")
     if method != "auto" and method not in (*LINEAR, *LEARNED):
         raise ValueError(f"unknown method {method!r}")
-    names = list(names or sorted(r[0] for r in factors.select("factor_id").distinct().limit(2001).collect()))
+    names = list(names or sorted(r[0] for r in factors.select("factor_id").distinct().limit(MAX_FACTORS + 1).collect()))
+    if len(names) > MAX_FACTORS:
+        raise ValueError(f"more than {MAX_FACTORS} factors")
     k = len(names)
     dates = F.broadcast(split_of(returns, splits))  # one row per date: a bounded calendar
     z = standardize(factors, how)

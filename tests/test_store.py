@@ -87,6 +87,14 @@ def test_panels_equal_sql(spark, data, name):
     assert sorted(tuple(map(str, r)) for r in entry.queries()[name](spark, data).select(*names).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
 
 
+def test_too_many_factors_to_combine(spark):
+    from barloom.evaluation.combine import combine
+
+    f = spark.range(2_001).selectExpr("cast(id as string) as factor_id", "'A' as symbol", "date '2024-01-01' as date", "1d as value")
+    with pytest.raises(ValueError, match="more than"):
+        combine(f, f.selectExpr("symbol", "date", "value as fwd"), None)
+
+
 def test_upsert(spark, tmp_path):
     path = f"{tmp_path}/prices"
     one = spark.createDataFrame([(D(2024, 1, 1), "A", 1.0), (D(2024, 2, 1), "A", 2.0), (D(2024, 1, 1), "A", 9.0)], "date date, symbol string, close double").withColumn("month", F.month("date"))
