@@ -9,6 +9,7 @@ from barloom.sources import store as S
 
 AS_OF, START, END = "2022-06-30", "2021-05-03", "2022-05-31"
 ORDER = ("as_of_date", "row_id")
+ALL_DAYS = "1000-01-01", "9999-12-31"
 
 
 def _bars(spark, d):
@@ -83,6 +84,20 @@ def resample_monthly(spark, d):
     return S.resample(_bars(spark, d), "1mo").select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")])
 
 
+def _resampled_whole(spark, d, frequency):
+    bars = S.prices_as_of(table(spark, d, "price_raw"), *ALL_DAYS, AS_OF, order=ORDER)
+    return S.resample(bars, frequency).select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")])
+
+
+def resample_weekly_whole(spark, d):
+    """All bars known by AS_OF; resample_weekly reads a window of days."""
+    return _resampled_whole(spark, d, "1w")
+
+
+def resample_monthly_whole(spark, d):
+    return _resampled_whole(spark, d, "1mo")
+
+
 def data_calendar(spark, d):
     return S.data_calendar(table(spark, d, "price_raw")).select("date", "n_symbols", *_r("coverage", n=8))
 
@@ -111,6 +126,7 @@ _SNAP = f"""sn as (
     select upper(trim(index_id)) as index_id, effective_date, symbols, row_number() over (partition by upper(trim(index_id)), effective_date order by as_of_date desc, snapshot_id desc) as rn
     from universe_snapshots where symbols is not null and as_of_date <= date '{{as_of}}') where rn = 1)"""
 _RESAMPLE = "with " + _BARS.replace(f" - {S.GAP_DAYS}", "") + " select symbol, max(date) as date, arg_min_null(open, date)::double as open, max(high)::double as high, min(low)::double as low, arg_max_null(close, date)::double as close from bars group by symbol, date_trunc('{u}', date)"
+_RESAMPLE_WHOLE = _RESAMPLE.replace(f"date between date '{START}' and date '{END}' and ", "")
 ORACLES = {
     "pit_prices": "with " + _BARS.replace(f" - {S.GAP_DAYS}", "") + " select symbol, date, open::double as open, close::double as close, as_of_date from bars",
     "pit_panel_split": _ADJ + f"select symbol, date, round(open / r, 5) as open, round(close / r, 5) as close, case when volume > 0 then round(log10(volume * r), 6) end as log_volume from adj where date >= date '{START}'",
@@ -126,6 +142,8 @@ select index_id, effective_date, len(symbols)::int as n_members, coalesce(array_
   coalesce(array_to_string(list_sort(list_filter(b, lambda s: not list_contains(symbols, s))), ','), '') as gone from c where b is null or b <> symbols""",
     "resample_weekly": _RESAMPLE.format(u="week"),
     "resample_monthly": _RESAMPLE.format(u="month"),
+    "resample_weekly_whole": _RESAMPLE_WHOLE.format(u="week"),
+    "resample_monthly_whole": _RESAMPLE_WHOLE.format(u="month"),
     "data_calendar": "select date, n as n_symbols, round(n / max(n) over (), 8) as coverage from (select date, count(distinct upper(trim(symbol))) as n from price_raw group by date)",
     "store_status": "select count(*) as n_rows, count(distinct upper(trim(symbol))) as n_symbols, count(distinct date) as n_days, min(date) as first_date, max(date) as last_date, max(as_of_date) as last_known from price_raw",
 }

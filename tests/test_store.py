@@ -87,6 +87,22 @@ def test_panels_equal_sql(spark, data, name):
     assert sorted(tuple(map(str, r)) for r in entry.queries()[name](spark, data).select(*names).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["resample_weekly_whole", "resample_monthly_whole"])
+def test_resampling_whole_table(spark, data, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"create view price_raw as select * from read_parquet('{data}/price_raw.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = entry.queries()[name](spark, data).select(*names).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, r)) for r in want.fetchall())
+    # Days before the window of resample_weekly and resample_monthly are there too.
+    assert min(r.date for r in got) < D(2021, 5, 3)
+
+
 def test_too_many_factors_to_combine(spark):
     from barloom.evaluation.combine import combine
 
