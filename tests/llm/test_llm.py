@@ -283,7 +283,7 @@ def test_levels_edges(spark):
     docs, _, grades = level_world(80)
     german = "Der Kurs fällt nach der Meldung und die Dividende bleibt gleich weil die Nachfrage nicht mehr wächst und der Index an jedem Handelstag steigt"
     chinese = "股价" * 40
-    docs = docs + [(500, german), (501, chinese), (502, ""), (503, None), (None, docs[0][1]), (504, "one two three"), (505, "<p>" + docs[1][1] + "</p>"), (0, docs[0][1]), (506, " ".join(f"q{chr(97 + k)}x" for k in range(25)))]
+    docs = docs + [(500, german), (501, chinese), (502, ""), (503, None), (None, docs[0][1]), (504, "one two three"), (505, "<p>" + docs[1][1] + "</p>"), (0, docs[0][1]), (506, " ".join(w + w for w in docs[1][1].split()))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     g = spark.createDataFrame(grades, "doc_id long, band double")
     got = Counter(r.doc_id for r in R.reading_levels(df, g).collect())
@@ -291,6 +291,51 @@ def test_levels_edges(spark):
     assert R.reading_levels(df, g.limit(0)).count() == 0 and R.reading_levels(df.limit(0), g).count() == 0
 
 
+ENGLISH = [
+    "The dog ran quickly over the green hill while children sang songs about winter and their grandmother baked fresh bread in the old kitchen near the river",
+    "Herr Schmidt of Düsseldorf and Madame Lefèvre from Orléans met Signor Rossi near Kraków to discuss whether Volkswagen and Générale would buy shares in Łódź this year",
+]
+OTHER = [
+    "De koers van het aandeel steeg gisteren omdat de winst van het bedrijf hoger was dan verwacht en de beleggers weer vertrouwen in de markt kregen na een lange periode",
+    "Il prezzo delle azioni è salito ieri perché gli utili della società sono stati superiori alle attese e gli investitori hanno ritrovato fiducia nel mercato dopo tempo",
+    "Kurs akcji wzrósł wczoraj, ponieważ zysk spółki był wyższy od oczekiwań, a inwestorzy odzyskali zaufanie do rynku po długim okresie niepewności na giełdzie",
+    "Цена акций выросла вчера, потому что прибыль компании оказалась выше ожиданий, и инвесторы снова поверили в рынок после долгого периода неопределенности на бирже",
+    "ارتفع سعر السهم أمس لأن أرباح الشركة كانت أعلى من المتوقع واستعاد المستثمرون الثقة في السوق بعد فترة طويلة من عدم اليقين في البورصة المحلية",
+    "Le cours de l'action a augmenté hier parce que le bénéfice de la société était supérieur aux attentes et que les investisseurs ont repris confiance",
+    "股价昨天上涨 因为公司的利润高于预期 " * 12,
+]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no corpus here")
+def test_language_is_learned_from_the_corpus(spark):
+    from barloom.llm.language import fit_language
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = R.Chunks(fit_language(docs), 1 << 18)
+    rows = lambda texts: [d for d, *_ in R.graph_rows(range(len(texts)), texts, 20, known)]
+    assert rows(ENGLISH) == [0, 1] and rows([t.upper() for t in ENGLISH[:1]]) == [0] and rows(OTHER) == []
+    # Without labels most texts decide; without texts nothing is known.
+    assert abs(fit_language(docs.drop("lang")).mean - known.language.mean) < 0.5
+    empty = fit_language(docs.limit(0))
+    assert not empty.known and not empty.holds(*map(np.array, ([-1.0], [9.0], [-1.0], [9.0])))[0]
+
+
+def test_graph_counts_words(spark):
+    from barloom.llm.language import Language
+
+    everything = Language(np.ones((28, 28, 28)), np.ones((28, 28, 28)))
+    everything.mean = -100.0
+    known = R.Chunks(everything, 1 << 18)
+    texts = ["a-b b, A 12 % x", "", "one two", "b b"]
+    got = {d: dict(zip(w.tolist(), (c**2).round().tolist())) for d, w, c in R.graph_rows([7, 8, 9, 7], texts, 2, known)}
+    import zlib
+
+    code = lambda w: zlib.crc32(w.encode()) % (1 << 18)
+    assert set(got) == {7, 9} and got[9] == {code("one"): 1.0, code("two"): 1.0} and got[7] == {code("b"): 2.0}
+    first = next(R.graph_rows([7], texts, 2, known))
+    assert dict(zip(first[1].tolist(), (first[2] ** 2).round().tolist())) == {code("a"): 2.0, code("b"): 2.0, code("x"): 1.0}
+
+
 def test_propagation_equals_dense_means():
     import pandas as pd
 
