@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.runtime import conf, delete_path, new_path
+from barloom.runtime import broadcast_if_small, conf, delete_path, new_path, stage
 
 FIELDS = ("ticker", "window_start", "open", "high", "low", "close", "volume", "transactions")
 
@@ -22,6 +22,39 @@ def packing(n_files: int, n_bytes: int, target_bytes: int = 128 << 20) -> dict[s
     return {"spark__sql__files__maxPartitionBytes": str(target_bytes), "spark__sql__files__openCostInBytes": str(min(4 << 20, max(4 << 10, mean)))}
 
 
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _content(spark: SparkSession, *paths: str) -> tuple[int, int]:
+    """(files, bytes) under the paths."""
+    found = [fs.getContentSummary(p) for p, fs in (_fs(spark, x) for x in paths)]
+    return sum(c.getFileCount() for c in found), sum(c.getLength() for c in found)
+
+
+def _checks(df: DataFrame) -> tuple:
+    """Number and sum of hashes of all rows."""
+    wide = "decimal(38,0)"
+    return F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast(wide)), F.lit(0).cast(wide)).alias("h")
+
+
+def _publish(df: DataFrame, out: str, n_out: int, fmt: str = "parquet", **options: str) -> int:
+    """Write ``df`` as ``n_out`` files without a shuffle, counted and hashed on the way, and rename them to ``out`` if they read back the same."""
+    spark, staging, seen = df.sparkSession, f"{out.rstrip('/')}.staging", Observation()
+    delete_path(spark, staging)
+    df.observe(seen, *_checks(df)).coalesce(n_out).write.format(fmt).options(**options).save(staging)
+    again = spark.read.format(fmt).options(**options).schema(df.schema).load(staging)
+    back = again.agg(*_checks(again)).first()
+    if (back["n"], back["h"]) != (seen.get["n"], seen.get["h"]):
+        delete_path(spark, staging)
+        raise RuntimeError(f"{seen.get['n']} records read, {back['n']} written")
+    path, fs = _fs(spark, staging)
+    if not fs.rename(path, _fs(spark, out)[0]):
+        raise RuntimeError(f"{staging} could not be renamed to {out}")
+    return back["n"]
+
+
 def consolidate_files(spark: SparkSession, source: str, out: str, fmt: str = "parquet", target_bytes: int = 128 << 20, **options: str) -> dict[str, int]:
     """Rewrite the many small files under ``source`` as few files of about ``target_bytes`` under ``out``.
 
@@ -30,25 +63,11 @@ def consolidate_files(spark: SparkSession, source: str, out: str, fmt: str = "pa
     written, read back, and renamed to ``out`` only if both agree; else it is removed and an error
     raised. No record is dropped or merged: repeated rows stay. An empty source gives an empty output.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    summary = fs.getContentSummary(hadoop)
-    n_files, n_bytes = summary.getFileCount(), summary.getLength()
+    n_files, n_bytes = _content(spark, source)
+    n_out = max(1, math.ceil(n_bytes / target_bytes))
     with conf(spark, **packing(n_files, n_bytes, target_bytes)):
-        df = spark.read.format(fmt).options(**options).load(source)
-        seen = Observation()
-        digest = F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-        n_out = max(1, math.ceil(n_bytes / target_bytes))
-        staging = f"{out.rstrip('/')}.staging"
-        delete_path(spark, staging)
-        df.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("h")).coalesce(n_out).write.format(fmt).options(**options).save(staging)
-        again = spark.read.format(fmt).options(**options).schema(df.schema).load(staging)
-        back = again.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*again.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
-    if (back["n"], back["h"]) != (seen.get["n"], seen.get["h"]):
-        delete_path(spark, staging)
-        raise RuntimeError(f"{source}: {seen.get['n']} records read, {back['n']} written")
-    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out))
-    return {"files_in": n_files, "bytes_in": n_bytes, "files_out": n_out, "records": back["n"]}
+        records = _publish(spark.read.format(fmt).options(**options).load(source), out, n_out, fmt, **options)
+    return {"files_in": n_files, "bytes_in": n_bytes, "files_out": n_out, "records": records}
 
 
 def parse_day_files(files: DataFrame) -> DataFrame:
@@ -87,29 +106,39 @@ def parse_day_files(files: DataFrame) -> DataFrame:
 def consolidate_day_files(files: DataFrame, out: str | None = None, target_bytes: int = 32 << 20) -> DataFrame:
     """Every record of the tiny day files exactly once, in few well-sized files; returns them as read back.
 
-    Splits of the input are packed as the scan settings say, lines become records without a shuffle, and each
-    record meets its repeats by its eight values (combined before the shuffle, so a record delivered a
-    million times is sent once per task). The one on the earliest line stays. The adaptive reader
-    joins the shuffled partitions to about ``target_bytes`` each, and each becomes one file.
-    The output goes to a staging folder; it is counted and hashed while written and published (renamed) only if what
-    is read back agrees. ``out`` None writes into the shared folder.
+    1. The scan packs its files into splits as :func:`packing` sets them, and lines become records without a shuffle; they are
+       staged with a hash of 128 bits of their eight values.
+    2. Repeats are found on hashes and places alone, combined before the shuffle, so a record delivered a million times is sent once
+       per task. What comes out are the hashes that occur more than once with their earliest line.
+    3. The staged records without the repeats are merged with ``coalesce`` (no shuffle) into files of about
+       ``target_bytes``, counted and hashed while written, and published (renamed) only if what is read back agrees and as many rows
+       as there are repeats are missing.
+
+    ``out`` None writes into the shared folder. An empty table gives an empty output.
     """
     spark = files.sparkSession
     out = out or new_path(spark, "day-files")
-    staging = f"{out}.staging"
-    # Splits by bytes, with an open cost far below the split, so that a file of parts is cut evenly and tiny parts share a split.
-    given = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    paths = files.inputFiles()
+    n_files, n_bytes = _content(spark, *paths) if len(paths) <= 1_000 else (len(paths), int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     records = parse_day_files(files)
-    once = records.groupBy(*FIELDS).agg(F.min(F.struct("file_id", "line_no")).alias("_first")).select("_first.file_id", "_first.line_no", *FIELDS)
-    checks = lambda d: (F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h"))
-    seen = Observation()
-    with conf(spark, spark__sql__files__openCostInBytes=str(256 << 10), spark__sql__files__maxPartitionBytes=given, spark__sql__adaptive__advisoryPartitionSizeInBytes=str(target_bytes), spark__sql__adaptive__coalescePartitions__parallelismFirst="false"):
-        once.observe(seen, *checks(once)).write.parquet(staging)
-    again = spark.read.schema(once.schema).parquet(staging)
-    back = again.agg(*checks(again)).first()
-    if (back["n"], back["h"]) != (seen.get["n"], seen.get["h"]):
-        delete_path(spark, staging)
-        raise RuntimeError(f"{seen.get['n']} records read, {back['n']} written")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(staging), path(out))
+    # Zero has two signs, which are equal as values.
+    value = [F.col(n) + F.lit(0.0) if n in FIELDS[2:] else F.col(n) for n in FIELDS]
+    records = records.withColumns({"_h": F.xxhash64(*value), "_h2": F.xxhash64(F.lit("second"), *reversed(value))})
+    parts = f"{out}.records"
+    delete_path(spark, parts)
+    with conf(spark, **packing(n_files, n_bytes)):
+        records.write.parquet(parts)
+    staged = spark.read.schema(records.schema).parquet(parts)
+    counted = staged.groupBy("_h", "_h2").agg(F.min(F.struct("file_id", "line_no")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = stage(counted, "repeats")
+    n_all, n_repeats = staged.count(), repeated.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n")).first().n
+    # Hash, place and count: some 50 bytes a row, so at most 50 MB are broadcast; beyond that the join is shuffled, with skew split by the engine.
+    once = staged.join(broadcast_if_small(repeated.select("_h", "_h2", "_first"), 1_000_000), ["_h", "_h2"], "left").where(F.col("_first").isNull() | (F.col("_first") == F.struct("file_id", "line_no")))
+    once = once.select("file_id", "line_no", *FIELDS)
+    n_out = max(1, math.ceil(_content(spark, parts)[1] / target_bytes))
+    written = _publish(once, out, n_out)
+    delete_path(spark, parts)
+    if written != n_all - n_repeats:
+        delete_path(spark, out)
+        raise RuntimeError(f"{n_all} records with {n_repeats} repeats, {written} written")
     return spark.read.schema(once.schema).parquet(out)

@@ -52,31 +52,44 @@ def snapshot_changes(members: DataFrame, dates: DataFrame, *, tolerance: float =
 
     ``members`` as from :func:`compositions`; ``dates``: (index_id, ord, effective_date) of every
     composition, also of those without members. Each member stands on two sides: 'new' in its own
-    comparison and 'old' in the next one. Both sides are grouped once by (index, comparison, member),
-    so the hottest index is spread by its members. Equal row hashes mean unchanged; only rows with different hashes are
-    compared by ``tolerance``. A weight that appears or goes away (null) is a change.
+    comparison and 'old' in the next one. Rows are hashed before the shuffle and both sides are grouped once by (index, comparison, member),
+    so the hottest index is spread by its members. Equal row hashes mean unchanged; only where they differ the weights
+    are compared by ``tolerance``. A weight that appears or goes away (null) is a change. Of a member's repeats the greatest weight counts.
     """
-    side = members.select("index_id", "symbol", "weight", F.explode(F.array(F.struct(F.col("ord").alias("cmp"), F.lit(True).alias("new")), F.struct((F.col("ord") + 1).alias("cmp"), F.lit(False).alias("new")))).alias("_s"), "n_ords").where(
+    side = members.select("index_id", "symbol", "weight", F.xxhash64("weight").alias("_h"), F.explode(F.array(F.struct(F.col("ord").alias("cmp"), F.lit(True).alias("new")), F.struct((F.col("ord") + 1).alias("cmp"), F.lit(False).alias("new")))).alias("_s"), "n_ords").where(
         F.col("_s.cmp").between(F.lit(1), F.col("n_ords") - 1)
     )
-    new, old = F.col("_s.new"), ~F.col("_s.new")
-    both = side.groupBy("index_id", F.col("_s.cmp").alias("ord"), "symbol").agg(
-        F.max(F.when(new, True)).alias("_in_new"),
-        F.max(F.when(old, True)).alias("_in_old"),
-        F.max(F.when(new, F.col("weight"))).alias("new_weight"),
-        F.max(F.when(old, F.col("weight"))).alias("old_weight"),
-    )
-    hashes_differ = F.xxhash64(F.col("new_weight")) != F.xxhash64(F.col("old_weight"))
-    far = F.when(F.col("new_weight").isNull() | F.col("old_weight").isNull(), True).otherwise(F.abs(F.col("new_weight") - F.col("old_weight")) > tolerance)
-    kind = F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "removed").when(hashes_differ & far, "changed")
+    row = F.struct("weight", "_h")
+    both = side.groupBy("index_id", F.col("_s.cmp").alias("ord"), "symbol").agg(F.max(F.when(F.col("_s.new"), row)).alias("_new"), F.max(F.when(~F.col("_s.new"), row)).alias("_old"))
+    new_weight, old_weight = F.col("_new.weight"), F.col("_old.weight")
+    far = F.when(new_weight.isNull() | old_weight.isNull(), True).otherwise(F.abs(new_weight - old_weight) > tolerance)
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when((F.col("_new._h") != F.col("_old._h")) & far, "changed")
     return (
-        both.select("index_id", "ord", "symbol", kind.alias("change_kind"), "old_weight", "new_weight")
+        both.select("index_id", "ord", "symbol", kind.alias("change_kind"), old_weight.alias("old_weight"), new_weight.alias("new_weight"))
         .where("change_kind is not null")
         .join(broadcast_if_small(dates.select("index_id", "ord", "effective_date")), ["index_id", "ord"])
         .select("index_id", "effective_date", "symbol", "change_kind", "old_weight", "new_weight")
     )
 
 
+def table_changes(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """(keys..., change_kind, n_old, n_new): the keys whose rows were added, removed or changed from one full snapshot of a table to the next.
+
+    Only a hash of the compared ``columns`` (all but the keys if not given, in the order of ``new``) leaves a row: both sides are united and grouped once by
+    the keys, and the number of rows and the sum of their hashes on each side tell what happened. Several rows of one key are a bag: their
+    order does not matter, their number does. Nulls equal each other, in keys as in columns; a key whose rows are the same on both sides gives
+    no row. Columns that only one side has must not be compared. Two empty tables give an empty result.
+    """
+    columns = [c for c in new.columns if c not in keys] if columns is None else columns
+    wide = "decimal(38,0)"
+    tagged = lambda df, side: df.select(*[F.col(k) for k in keys], F.xxhash64(F.lit(0), *[F.col(c) for c in columns]).cast(wide).alias("_h"), F.lit(side).alias("_new"))
+    both = tagged(old, False).unionByName(tagged(new, True)).groupBy(*keys).agg(
+        F.count_if(~F.col("_new")).alias("n_old"), F.count_if("_new").alias("n_new"), F.sum(F.when(F.col("_new"), F.col("_h")).otherwise(-F.col("_h"))).alias("_d")
+    )
+    kind = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").when((F.col("n_old") != F.col("n_new")) | (F.col("_d") != 0), "changed")
+    return both.select(*keys, kind.alias("change_kind"), "n_old", "n_new").where("change_kind is not null")
+
+
 def composition_dates(snapshots: DataFrame) -> DataFrame:
     """(index_id, ord, effective_date) of the effective dates that have a composition."""
     ok = snapshots.where("index_id is not null and effective_date is not null and as_of_date is not null and symbols is not null and snapshot_id is not null")

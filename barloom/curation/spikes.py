@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.curation.units import vendor_of
-from barloom.runtime import broadcast_if_small, norm_key, staged_small
+from barloom.runtime import broadcast_if_small, norm_key, stage, staged_small
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 START = np.log([0.99, 0.004, 0.004, 0.002])
@@ -42,7 +42,7 @@ FREEDOM, SPIKE_RANGE, REPEAT_NORMAL, REPEAT_STUCK = 12.0, 400.0, 0.02, 0.97
 def posteriors(z: np.ndarray, repeat: np.ndarray, broken: np.ndarray, source: np.ndarray) -> np.ndarray:
     """Posterior of the four states for each reading; ``source`` numbers the sequences (sorted, contiguous).
 
-    All sequences are walked at once, padded to the longest. A NaN residual tells nothing between normal and spike.
+    A NaN residual tells nothing between normal and spike.
     """
     n = len(z)
     if not n:
@@ -60,6 +60,20 @@ def posteriors(z: np.ndarray, repeat: np.ndarray, broken: np.ndarray, source: np
     e = np.exp(e - e.max(axis=1, keepdims=True))
     first = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
     length = np.diff(np.r_[first, n])
+    out = np.empty((n, 4))
+    # Sequences of like length are walked together, so padding at most doubles the work, however long the longest is.
+    kind = np.ceil(np.log2(length)).astype(int)
+    for k in np.unique(kind):
+        some = np.flatnonzero(kind == k)
+        size = length[some]
+        rows = np.repeat(first[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[rows] = _walk(e[rows], size)
+    return out
+
+
+def _walk(e: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Forward and backward probabilities of sequences that lie one after the other in ``e``, all walked at once."""
+    n, first = len(e), np.cumsum(length) - length
     # Longest sequences first, so that those still going on at a step are the first ones.
     order = np.argsort(-length, kind="stable")
     place = np.empty(len(first), int)
@@ -179,7 +193,6 @@ def flag_implausible(prices: DataFrame, units: DataFrame, *, min_run: int = 6, r
     a symbol with a third of all rows then has as many readings as dates, vendors and corrections. Groups of symbols of about
     ``rows_per_group`` readings go to the model; its verdicts, keyed by value, find the rows again.
     """
-    n_groups = max(8, math.ceil(prices.count() / rows_per_group))
     p = prices.select("row_id", norm_key(F.col("symbol")).alias("symbol"), vendor_of(F.col("source_id")).alias("vendor"), F.col("date").alias("day"), F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
     clean = lambda c: F.when(~F.isnan(c), F.col(c))
     p = p.withColumn("close", clean("close")).withColumn("volume", clean("volume"))
@@ -187,11 +200,13 @@ def flag_implausible(prices: DataFrame, units: DataFrame, *, min_run: int = 6, r
     p = p.withColumn("volume", F.col("volume") * F.pow(F.lit(10.0), F.coalesce("power", F.lit(0)))).drop("power")
     readings = p.where("symbol is not null and day is not null").select("symbol", "vendor", "day", "close", "volume").distinct()
     log_volume = F.when(F.col("volume") > 0, F.ln("volume"))
-    usual = p.where("symbol is not null").groupBy("symbol").agg(F.percentile_approx(log_volume, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
-    usual = usual.select("symbol", F.col("q")[1].alias("usual"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"))
-    grouped = readings.join(staged_small(usual, "usual", 1_000_000), "symbol").withColumns({"_g": F.pmod(F.xxhash64("symbol"), F.lit(n_groups)), "day": F.unix_date("day")})
+    usual = p.where("symbol is not null").groupBy("symbol").agg(F.percentile_approx(log_volume, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"), F.count(F.lit(1)).alias("n"))
+    usual = stage(usual.select("symbol", F.col("q")[1].alias("usual"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"), "n"), "usual")
+    n_groups = max(8, math.ceil((usual.agg(F.sum("n").alias("n")).first().n or 0) / rows_per_group))
+    grouped = readings.join(broadcast_if_small(usual.drop("n"), 1_000_000), "symbol").withColumns({"_g": F.pmod(F.xxhash64("symbol"), F.lit(n_groups)), "day": F.unix_date("day")})
     flags = grouped.groupBy("_g").applyInPandas(_score(min_run), "symbol string, vendor string, day int, value double, field_name string, state string, z double").withColumn("day", F.date_from_unix_date("day"))
     row = p.select("row_id", "symbol", "vendor", "day", F.explode(F.array(F.struct(F.lit("close").alias("field_name"), F.col("close").alias("value")), F.struct(F.lit("volume").alias("field_name"), F.col("volume").alias("value")))).alias("_v")).select("row_id", "symbol", "vendor", "day", "_v.*").where("value is not null")
-    hit = row.join(staged_small(flags.select("symbol", "vendor", "day", "value", "field_name", "state"), "flags"), ["symbol", "vendor", "day", "value", "field_name"])
-    orphan = row.where("(symbol is null or day is null) and value <= 0").withColumn("state", F.lit("out_of_range"))
-    return hit.select("row_id", "field_name", "state").unionByName(orphan.select("row_id", "field_name", "state"))
+    hit = row.join(staged_small(flags.select("symbol", "vendor", "day", "value", "field_name", "state"), "flags"), ["symbol", "vendor", "day", "value", "field_name"], "left")
+    # Rows without symbol or date have met no verdict; only the hard bound holds for them.
+    state = F.coalesce("state", F.when((F.col("symbol").isNull() | F.col("day").isNull()) & (F.col("value") <= 0), "out_of_range"))
+    return hit.select("row_id", "field_name", state.alias("state")).where("state is not null")

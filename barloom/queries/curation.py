@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from barloom.curation.asof import asof_attributes
 from barloom.curation.compaction import consolidate_day_files
 from barloom.curation.regular_grid import regular_grid
-from barloom.curation.snapshots import OPEN_END, attribute_history, composition_dates, compositions, snapshot_changes, ymd
+from barloom.curation.snapshots import OPEN_END, attribute_history, composition_dates, compositions, snapshot_changes, table_changes, ymd
 from barloom.curation.spikes import flag_implausible
-from barloom.curation.units import dividend_units, vendor_of, volume_units
+from barloom.curation.units import dividend_residuals, dividend_units, vendor_of, volume_units
 from barloom.runtime import broadcast_if_small, norm_key, table
 
 
@@ -23,6 +23,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return volumes.unionByName(cash).select("src_table", "row_key", F.round(F.pow(F.lit(10.0), F.col("power") + 6)).cast("bigint").alias("factor_e6"))
 
 
+def p1_units(spark: SparkSession, d: str) -> DataFrame:
+    """The unit of every vendor and date and of every dividend, how far the identity is from it, and whether another unit would fit as well."""
+    prices, events, notes = (table(spark, d, t) for t in ("price_raw", "adj_events", "source_notes"))
+    volumes = volume_units(prices, notes).select(F.lit("price_raw").alias("src_table"), F.concat_ws(" ", "vendor", F.col("day").cast("string")).alias("unit_key"), "power", F.round("residual", 6).alias("residual"), "unique_fit")
+    cash = dividend_units(events, prices, notes).select(F.lit("adj_events").alias("src_table"), F.col("event_id").alias("unit_key"), "power", F.round("residual", 6).alias("residual"), "unique_fit")
+    return volumes.unionByName(cash)
+
+
+def p1_dividend_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """What the identity of dividends leaves for the unit to explain, in powers of ten."""
+    found = dividend_residuals(table(spark, d, "adj_events"), table(spark, d, "price_raw"))
+    return found.where("residual is not null").select("event_id", "vendor", F.round("residual", 6).alias("residual"))
+
+
+P1_RESIDUALS_SQL = r"""
+with words as (
+  select *, lower(split_part(trim(source), ':', 1)) as vendor, regexp_replace(lower(dividend_text), '(?:\bper|/|\beach|\bevery|\bholding of)\s*(\d+|ten|hundred|one hundred|thousand)\b([^.]|$)', ' ') as rest
+  from adj_events where lower(source) like '%dividend%' and event_id is not null),
+amounts as (
+  select *, coalesce(case when isnan(dividend_cash) then null else dividend_cash end, try_cast(replace(regexp_extract(rest, '(\d+(?:[.,]\d+)?)', 1), ',', '.') as double)) as amount from words),
+one as (
+  select event_id, vendor, upper(trim(symbol)) as symbol, ex_date, amount, provider_adj_factor as f
+  from (select *, row_number() over (partition by event_id order by coalesce(as_of_date, date '0001-01-01') desc, amount desc) as rn from amounts where amount is not null) where rn = 1),
+prev as (
+  select o.event_id, arg_max(p.close::double, row(p.date, p.close)) as close
+  from one o join price_raw p on upper(trim(p.symbol)) = o.symbol and p.date between o.ex_date - 10 and o.ex_date - 1
+  where p.close > 0 and o.f > 0 and o.f < 1 and o.amount > 0 group by all)
+select event_id, vendor, round(log10(amount / ((1 - f) * prev.close)), 6) as residual from one join prev using (event_id)
+"""
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     panel, specs, snaps, events = (table(spark, d, t) for t in ("session_panel", "session_specs", "universe_snapshots", "adj_events"))
     index_of = specs.select("session_id", norm_key(F.col("index_id")).alias("_index")).where("session_id is not null").dropDuplicates(["session_id"])
@@ -124,6 +155,30 @@ where d.ord > 1 and (a.symbol is null or b.symbol is null or (a.w is null) <> (b
 )
 
 
+#: Two full states of the bars: as known by these days.
+KNOWN = ("2022-01-31", "2022-06-30")
+
+
+def p4_bar_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """What changed in the raw bars, a row per (date, symbol, vendor), between two full states of the table: every column but the keys counts."""
+    bars = table(spark, d, "price_raw").select(F.col("date"), norm_key(F.col("symbol")).alias("symbol"), vendor_of(F.col("source_id")).alias("vendor"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")], "transactions", "as_of_date")
+    old, new = (bars.where(F.col("as_of_date") <= F.lit(k).cast("date")).drop("as_of_date") for k in KNOWN)
+    return table_changes(old, new, ["date", "symbol", "vendor"])
+
+
+P4_CORRECTIONS_SQL = f"""
+with bars as (
+  select date, upper(trim(symbol)) as symbol, lower(trim(regexp_extract(source_id, '^([^/:]*)', 1))) as vendor,
+    concat_ws('|', coalesce(open::text, '-'), coalesce(high::text, '-'), coalesce(low::text, '-'), coalesce(close::text, '-'), coalesce(volume::text, '-'), coalesce(transactions::text, '-')) as r, as_of_date from price_raw),
+sides as (
+  select date, symbol, vendor, r, 1 as old, 0 as new from bars where as_of_date <= date '{KNOWN[0]}'
+  union all select date, symbol, vendor, r, 0, 1 from bars where as_of_date <= date '{KNOWN[1]}'),
+rows_ as (select date, symbol, vendor, r, sum(old) as o, sum(new) as n from sides group by all)
+select date, symbol, vendor, case when sum(o) = 0 then 'added' when sum(n) = 0 then 'removed' else 'changed' end as change_kind, sum(o)::bigint as n_old, sum(n)::bigint as n_new
+from rows_ group by all having max(case when o <> n then 1 else 0 end) = 1
+"""
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     snaps = table(spark, d, "universe_snapshots")
     runs = attribute_history(compositions(snaps), composition_dates(snaps))
@@ -170,5 +225,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flag_implausible(prices, volume_units(prices, table(spark, d, "source_notes"))).select("row_id", "field_name").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_grid, p4_found, p5_found, p6_found, p7_found)}
-ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_grid": P3_GRID_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_dividend_residuals, p2_found, p3_found, p3_grid, p4_found, p4_bar_corrections, p5_found, p6_found, p7_found)}
+ORACLES = {"p1_dividend_residuals": P1_RESIDUALS_SQL, "p4_bar_corrections": P4_CORRECTIONS_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_grid": P3_GRID_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}

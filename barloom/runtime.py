@@ -48,7 +48,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; it stops reading soon after the bound."""
+    """Whether ``df`` has at most ``rows`` rows; it stops reading soon after the bound. For results that are cheap to compute twice."""
     return df.limit(rows + 1).count() <= rows
 
 
