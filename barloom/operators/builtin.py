@@ -270,18 +270,29 @@ def _ts_decay_linear(ctx, x, d):
 
 
 def _ema(ctx, x, d):
+    """The fold s(1 - a) + va over the present values, in blocks of running sums: a row keeps three numbers, however long the window.
+
+    Within a block of n values the sum of v(1 - a)^-i is scaled back at each row; the blocks before enter through the last two ends. n is
+    such that what lies further back weighs less than 1e-18.
+    """
     d = _days(d)
     alpha = 2 / (d + 1)
+    x = num(x)
     if alpha == 1:
-        kept, reach = num(x), 0
-    else:
-        # Values further back weigh less than 1e-18 together: the fold over that many present values is exact.
-        reach = math.ceil(math.log(1e-18) / math.log(1 - alpha))
-        x = num(x)
-        own = Window.partitionBy("symbol", x.isNull()).orderBy("date").rowsBetween(-reach, 0)
-        kept = ctx.window(("ema-list", str(x._jc.toString()), d), lambda: F.collect_list(x).over(own))
-        kept = F.when(x.isNotNull(), F.aggregate(kept, F.lit(None).cast("double"), lambda s, v: F.when(s.isNull(), v).otherwise(s * (1 - alpha) + v * alpha)))
-    return kept
+        return x
+    keep = 1 - alpha
+    n = math.ceil(math.log(1e-9) / math.log(keep))
+    name = str(x._jc.toString())
+    own = Window.partitionBy("symbol", x.isNull()).orderBy("date")
+    k = ctx.window(("ema-k", name), lambda: F.row_number().over(own) - 1)
+    block, place = F.floor(k / n), (k % n).cast("double")
+    weight = F.when(k == 0, 1.0).otherwise(alpha) * F.pow(F.lit(keep), -place)
+    inside = Window.partitionBy("symbol", x.isNull(), block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    here = ctx.window(("ema-sum", name, d), lambda: F.sum(x * weight).over(inside), 1) * F.pow(F.lit(keep), place)
+    before, at_end = own.rowsBetween(Window.unboundedPreceding, -1), place == n - 1
+    last = ctx.window(("ema-end", name, d), lambda: F.last(F.when(at_end, here), ignorenulls=True).over(before), 2)
+    ends = ctx.window(("ema-ends", name, d), lambda: F.last(F.when(at_end, here + keep**n * F.coalesce(last, F.lit(0.0))), ignorenulls=True).over(before), 3)
+    return F.when(x.isNotNull(), here + F.pow(F.lit(keep), place + 1) * F.coalesce(ends, F.lit(0.0)))
 
 
 @operator("ema_here", 2, axis="ts", window=True)

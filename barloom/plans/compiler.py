@@ -47,13 +47,16 @@ class Context:
         self.by_symbol = Window.partitionBy("symbol").orderBy("date")
         self.bar_no = F.col("bar_no")
         self.groups = groups
-        self.helpers: dict[str, Column] = {}
+        self.helpers: list[dict[str, Column]] = []
         self.names: dict = {}
 
-    def window(self, key, make) -> Column:
+    def window(self, key, make, level: int = 0) -> Column:
+        """A helper column; one of a higher ``level`` may use those of lower ones."""
         if key not in self.names:
             self.names[key] = f"w_{len(self.names)}"
-            self.helpers[self.names[key]] = make()
+            while len(self.helpers) <= level:
+                self.helpers.append({})
+            self.helpers[level][self.names[key]] = make()
         return F.col(self.names[key])
 
     def group(self, name: str) -> str:
@@ -136,8 +139,8 @@ def compile_factors(panel: DataFrame, factors: Mapping[str, str | Node], groups:
             clustered, switches = axis, switches + 1
         work, ctx = ready(axis), Context(named)
         built = {f"n_{h}": registry.get(n.op).build(ctx, *map(arg, n.args)).cast("double") for h, n in work.items()}
-        if ctx.helpers:
-            frame = frame.withColumns(ctx.helpers)
+        for helpers in ctx.helpers:
+            frame = frame.withColumns(helpers) if helpers else frame
         frame = frame.withColumns(built)
         finish(work)
         frame = frame.select(*live())

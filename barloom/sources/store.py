@@ -197,3 +197,46 @@ def data_calendar(prices: DataFrame) -> DataFrame:
 def store_status(prices: DataFrame) -> DataFrame:
     """One row: rows, symbols, days, first and last date, last knowledge."""
     return prices.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(norm_key(F.col("symbol"))).alias("n_symbols"), F.countDistinct("date").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("as_of_date").alias("last_known"))
+
+
+def get_bars(prices: DataFrame, events: DataFrame, symbols: Sequence[str], start, end, as_of, frequency: str = "1d", adj: str = "split", order: Sequence[str] = ("as_of_date",)) -> DataFrame:
+    """(symbol, date, open, high, low, close, volume) of some symbols, adjusted and as known; daily ('1d'), weekly ('1w') or monthly ('1mo').
+
+    The symbols reach the scan of prices and events as a filter. Symbols without bars give no row.
+    """
+    wanted = sorted({s.strip().upper() for s in symbols})
+    own = events.where(norm_key(F.col("symbol")).isin(wanted))
+    bars = read_panel(prices, own, ["open", "high", "low", "close", "volume"], start, end, as_of, adj, wanted, order)
+    return (bars if frequency == "1d" else resample(bars, frequency)).select("symbol", "date", "open", "high", "low", "close", "volume")
+
+
+def status_as_of(status: DataFrame, start, end, as_of) -> DataFrame:
+    """The price limits and locks of every (date, symbol) of the range as they were known: the latest of several rows."""
+    rows = status.where(F.col("date").between(as_date(start), as_date(end)) & (F.col("as_of_date") <= as_date(as_of))).withColumn("symbol", norm_key(F.col("symbol"))).where("symbol is not null")
+    return latest(rows, ["symbol", "date"], ["as_of_date"])
+
+
+def changes_around(snapshots: DataFrame, baseline, as_of) -> DataFrame:
+    """(index_id, effective_date, side, symbol, change): who joined or left at each composition after the ``baseline`` date ('since') and up to it ('before')."""
+    c = membership_changes(snapshots, as_of)
+    rows = c.select("index_id", "effective_date", F.explode(F.concat(F.transform("joined", lambda s: F.struct(s.alias("symbol"), F.lit("joined").alias("change"))), F.transform("left", lambda s: F.struct(s.alias("symbol"), F.lit("left").alias("change"))))).alias("_c"))
+    return rows.select("index_id", "effective_date", F.when(F.col("effective_date") > as_date(baseline), "since").otherwise("before").alias("side"), "_c.symbol", "_c.change")
+
+
+def apply_deltas(deltas: DataFrame) -> DataFrame:
+    """(index_id, effective_date, symbols): full compositions from deltas (index_id, effective_date, seq, op, symbols).
+
+    ``op`` 'union' adds and 'difference' removes members. Deltas are applied by effective date and within it by ``seq``, as their source lists
+    them: a member removed and then added on one date stays, one added and then removed does not. What a member's last delta says
+    holds, so each member is looked at by itself: no composition is rebuilt from its start, and a large index is spread by its members.
+    Unknown operations, null dates and members count as nothing. Dates with no effect still give their composition.
+    """
+    d = deltas.where(F.col("op").isin("union", "difference") & F.col("effective_date").isNotNull()).select(norm_key(F.col("index_id")).alias("index_id"), "effective_date", "seq", (F.col("op") == "union").alias("_in"), "symbols")
+    dates = d.select("index_id", "effective_date").distinct()
+    each = d.select("index_id", "effective_date", "seq", "_in", F.explode("symbols").alias("symbol")).withColumn("symbol", norm_key(F.col("symbol"))).where("symbol <> ''")
+    each = each.groupBy("index_id", "symbol", "effective_date").agg(F.max_by("_in", "seq").alias("_in"))
+    own = Window.partitionBy("index_id", "symbol").orderBy("effective_date")
+    spans = each.withColumn("_until", F.lead("effective_date").over(own)).where("_in").select("index_id", "symbol", F.col("effective_date").alias("_from"), "_until")
+    held = dates.join(spans, "index_id", "left").where("_from is null or (effective_date >= _from and (_until is null or effective_date < _until))")
+    found = held.groupBy("index_id", "effective_date").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    return dates.join(found, ["index_id", "effective_date"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))

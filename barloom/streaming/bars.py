@@ -34,12 +34,15 @@ def windowed_bars(ticks: DataFrame, *, key: str, time: str, price: str, tiebreak
     return bars.select(F.col("_w.start").alias("start"), key, "open", "high", "low", "close", "n", "volume")
 
 
-def drain_to_store(bars: DataFrame, store: str, keys: Sequence[str], checkpoint: str | None = None, output_mode: str = "update") -> None:
-    """Run a stream over all that is there, upserting every micro-batch; a batch that is run again after a failure gives the same store."""
+def drain_to_store(bars: DataFrame, store: str, keys: Sequence[str], checkpoint: str | None = None, output_mode: str = "update", time: str = "start") -> None:
+    """Run a stream over all that is there, upserting every micro-batch; a batch that is run again after a failure gives the same store.
+
+    The store is partitioned by the day of ``time`` (column ``day``), so a micro-batch rewrites only the days it has bars of.
+    """
     spark = bars.sparkSession
 
     def put(batch: DataFrame, _: int) -> None:
-        upsert(spark, store, batch, keys)
+        upsert(spark, store, batch.withColumn("day", F.to_date(time)), [*keys, "day"], ["day"])
 
     query = bars.writeStream.foreachBatch(put).outputMode(output_mode).option("checkpointLocation", checkpoint or new_path(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
