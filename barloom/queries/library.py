@@ -8,10 +8,12 @@ from barloom.evaluation.metrics import by_horizon, forward_returns, rank_ic_seri
 from barloom.library import analysis as A
 from barloom.library.catalogs import alpha101, features158
 from barloom.library.sharing import common_subexpressions, evaluate_library
+from barloom.library.store import CombinationStore, FactorLibrary
 from barloom.plans.compiler import compile_factors, evaluate_long
 from barloom.queries.operators import _w, full
 from barloom.queries.operators import rank as sql_rank
 from barloom.queries.panels import PANEL_SQL, nation_groups, nation_weeks
+from barloom.runtime import new_path, stage
 
 SAMPLES = (2, 3, 6, 9, 12, 33, 38, 41, 42, 54, 101)
 
@@ -74,6 +76,31 @@ def ic_heatmap_week(spark, d):
     return _heatmap(spark, d, "week")
 
 
+def report_library(spark, d):
+    """Reports of the four factors saved, one saved again, one deleted, and what is left with a rank ICIR, best first."""
+    path = new_path(spark, "library")
+    lib = FactorLibrary(spark, path)
+    plan = compile_factors(nation_weeks(spark, d), FOUR, keep=("open",))
+    frame = stage(forward_returns(plan.frame, (1,), dense=True, carry=list(FOUR)), "library-frame")
+    long = by_horizon(frame, (1,), ["symbol", "date", *FOUR]).select("symbol", "date", "fwd", F.explode(F.create_map(*[x for k in FOUR for x in (F.lit(k), F.col(k))])).alias("factor_id", "factor"))
+    head = rank_ic_series(long, by=["factor_id"]).groupBy("factor_id").agg(F.avg("rank_ic").alias("rank_ic"), F.stddev_samp("rank_ic").alias("_s"))
+    reports = stage(head.select("factor_id", F.col("factor_id").alias("name"), F.lit("demo").alias("market"), "rank_ic", (F.col("rank_ic") / F.col("_s")).alias("rank_icir")), "reports")
+    lib.save(reports)
+    lib.save(reports.where("factor_id = 'move'").withColumn("market", F.lit("again")))
+    lib.delete("size")
+    return lib.list(min_rank_icir=-10.0).select("factor_id", "market", F.round("rank_ic", 6).alias("rank_ic"), F.round("rank_icir", 6).alias("rank_icir"))
+
+
+def combination_runs(spark, d):
+    """Combination runs saved, one of them twice, and one deleted."""
+    store = CombinationStore(spark, new_path(spark, "runs"))
+    store.save("equal", {"level": 0.5, "move": 0.5}, {"icir": 0.1}, name="two", market="demo")
+    store.save("equal", {"move": 0.25, "level": 0.75}, {"icir": 0.2}, name="two again", market="demo")
+    store.save("ols", {"level": 1.0}, {"icir": 0.3}, name="one")
+    store.delete(store.save("ols", {"tilt": 1.0}, name="gone"))
+    return store.list().select("name", "method", F.concat_ws(",", "factor_ids").alias("factors"), F.col("weights")["level"].alias("level"), "icir", F.length("run_id").cast("long").alias("id_length"))
+
+
 def shared_subexpressions(spark, d):
     return spark.createDataFrame(common_subexpressions(list(alpha101().values())), "hash string, expression string, count long, n_factors long, nodes long, score long")
 
@@ -116,6 +143,9 @@ ic as (select f, date, case when stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then
 _HEAT = _FOUR_SQL + "select f as factor_id, {p} as period, round(avg(c), 7) + 0.0 as rank_ic, count(c) as n from ic group by all"
 ORACLES = {
     "alpha101_samples": _ALPHA_SQL,
+    "report_library": _FOUR_SQL + ", rep as (select f as factor_id, avg(c) as m, stddev_samp(c) as s from ic group by f) select factor_id, case factor_id when 'move' then 'again' else 'demo' end as market, round(m, 6) as rank_ic, round(m / s, 6) as rank_icir from rep where factor_id <> 'size'",
+    "combination_runs": "select * from (values ('two again', 'equal', 'level,move', 0.75::double, 0.2::double, 16::bigint), ('one', 'ols', 'level', 1.0, 0.3, 16)) t(name, method, factors, level, icir, id_length)",
+    "factor_lineage": "select * from (values ('b', 'a'), ('a', 'c'), ('d', 'c')) t(part, whole)",
     "factor_similarity": _FOUR_SQL + "select a, b, round(s, 7) as similarity from sim",
     "factor_redundancy": _FOUR_SQL + "select a as factor_id, round(max(abs(s)), 7) as redundancy, arg_max(b, abs(s)) as nearest from two group by a",
     "factor_prune": _FOUR_SQL + ", sc as (select * from (values ('level', 0.3), ('move', 0.2), ('size', -1e308), ('tilt', 0.1)) t(f, s)) select distinct case when x.s < y.s then sim.a when y.s < x.s then sim.b else greatest(sim.a, sim.b) end as factor_id from sim join sc x on x.f = sim.a join sc y on y.f = sim.b where abs(sim.s) >= 0.4",
@@ -123,4 +153,4 @@ ORACLES = {
     "ic_heatmap_quarter": _HEAT.format(p="year(date) || '-Q' || quarter(date)"),
     "ic_heatmap_week": _HEAT.format(p="strftime(date, '%G-W%V')"),
 }
-QUERIES = {n: globals()[n] for n in (*ORACLES, "alpha101_coverage", "features158_coverage", "shared_subexpressions", "factor_map", "factor_lineage")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "alpha101_coverage", "features158_coverage", "shared_subexpressions", "factor_map")}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.library.analysis import factor_id
 from barloom.queries.panels import nation_groups, nation_weeks
+from barloom.queries.portfolios import _NAV
 from barloom.runtime import new_path, table
 from barloom.sdk import Session
 from barloom.sources.files import is_folder
@@ -45,5 +47,12 @@ def batch_hourly_bars(spark, d):
 
 
 _SQL = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, arg_min(value, row(ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, row(ts, event_id)) as close, count(*) as n from events where event_type is not null and ts is not null and value is not null group by all"
-ORACLES = {"stream_hourly_bars": _SQL, "batch_hourly_bars": _SQL}
+_PORTFOLIO = _NAV.replace("case when m < 0 then 0.001 else 0 end", "0")
+
+
+def _run_name():
+    return factor_id("-1 * (close / delay(close, 1))")
+
+
+ORACLES = {"session_portfolio": _PORTFOLIO + f"select '{_run_name()}' as run_id, date, round(nav, 6) as nav from nav", "stream_hourly_bars": _SQL, "batch_hourly_bars": _SQL}
 QUERIES = {n: globals()[n] for n in ("stream_hourly_bars", "batch_hourly_bars", "session_backtest", "session_portfolio")}
