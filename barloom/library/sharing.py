@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from collections import Counter
 from collections.abc import Mapping, Sequence
@@ -14,7 +15,7 @@ from barloom.plans.compiler import compile_factors, evaluate_long
 from barloom.plans.expression import Apply, ExpressionError, Field, node_hash, parse, size, walk
 from barloom.plans.panel import densify
 from barloom.runtime import new_path, stage
-from barloom.sources.files import path_exists
+from barloom.sources.files import path_exists, recover, upsert, write_atomic
 
 
 def common_subexpressions(expressions: Sequence[str], least: int = 2) -> list[dict]:
@@ -72,6 +73,9 @@ def panel_fingerprint(panel: DataFrame, fields: Sequence[str], **context: str) -
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+MANIFEST = "fingerprint string, hash string, expression string, data_latest string, saved_at timestamp_ntz"
+
+
 class PrecomputeStore:
     """Factor results kept as parquet under (structure hash, panel fingerprint), in a folder that all executors share."""
 
@@ -85,13 +89,56 @@ class PrecomputeStore:
         path = self.path(expression, fingerprint)
         return self.spark.read.schema("symbol string, date date, value double").parquet(path) if path_exists(self.spark, f"{path}/_SUCCESS") else None
 
-    def evaluate(self, panel: DataFrame, factors: Mapping[str, str], fingerprint: str, groups: DataFrame | None = None) -> DataFrame:
-        """Like :func:`evaluate_library`; what is stored is read, the rest computed in one plan and stored."""
+    def put(self, expression: str, fingerprint: str, values: DataFrame, data_latest: str | None = None) -> None:
+        """Keep (symbol, date, value) of a factor and name it in the manifest."""
+        write_atomic(values.select("symbol", "date", F.col("value").cast("double").alias("value")), self.path(expression, fingerprint))
+        self._note([(fingerprint, node_hash(parse(expression)), expression, data_latest)])
+
+    def _note(self, rows: list[tuple]) -> None:
+        now = dt.datetime.now()
+        upsert(self.spark, f"{self.root}/manifest", self.spark.createDataFrame([(*r, now) for r in rows], MANIFEST), ["fingerprint", "hash"], order=["saved_at"])
+
+    def entries(self, fingerprint: str | None = None) -> DataFrame:
+        """(fingerprint, hash, expression, data_latest, saved_at) of what is kept."""
+        path = f"{self.root}/manifest"
+        recover(self.spark, path)
+        t = self.spark.read.schema(MANIFEST).parquet(path) if path_exists(self.spark, f"{path}/_SUCCESS") else self.spark.createDataFrame([], MANIFEST)
+        return t if fingerprint is None else t.where(F.col("fingerprint") == fingerprint)
+
+    def stats(self) -> DataFrame:
+        """(fingerprint, n_entries, data_latest, saved_at): one row a panel."""
+        return self.entries().groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_entries"), F.max("data_latest").alias("data_latest"), F.max("saved_at").alias("saved_at"))
+
+    def fresh(self, fingerprint: str, data_latest: str) -> bool:
+        """Whether something is kept for the panel and all of it is from data up to ``data_latest``."""
+        r = self.entries(fingerprint).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("data_latest").eqNullSafe(F.lit(data_latest))).alias("old")).first()
+        return r.n > 0 and r.old == 0
+
+    def evaluate(self, panel: DataFrame, factors: Mapping[str, str], fingerprint: str, groups: DataFrame | None = None, *, data_latest: str | None = None, max_nodes: int = 160) -> DataFrame:
+        """Like :func:`evaluate_library`; what is stored is read, the rest computed in batches of related factors and stored."""
         missing = {k: e for k, e in factors.items() if self.get(e, fingerprint) is None}
-        if missing:
-            plan = compile_factors(panel, missing, groups)
-            held = stage(plan.frame, "precomputed")
-            for k, e in missing.items():
-                held.select("symbol", "date", F.col(k).alias("value")).write.mode("overwrite").parquet(self.path(e, fingerprint))
+        for batch in batches(missing, max_nodes) if missing else []:
+            held = stage(compile_factors(panel, batch, groups).frame, "precomputed")
+            for k, e in batch.items():
+                write_atomic(held.select("symbol", "date", F.col(k).alias("value")), self.path(e, fingerprint))
+            self._note([(fingerprint, node_hash(parse(e)), e, data_latest) for e in batch.values()])
         parts = [self.get(e, fingerprint).select(F.lit(k).alias("factor_id"), "symbol", "date", "value") for k, e in factors.items()]
         return reduce(DataFrame.unionByName, parts)
+
+
+class FactorCache:
+    """Results by what was asked: expression, universe, period, adjustment and market, without looking at the panel."""
+
+    def __init__(self, store: PrecomputeStore):
+        self.store = store
+
+    @staticmethod
+    def key(universe: str, start: str, end: str, adj: str = "split", market: str = "") -> str:
+        text = "|".join((universe.strip().upper(), str(start), str(end), adj, market.strip().upper()))
+        return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+    def get(self, expression: str, *context: str) -> DataFrame | None:
+        return self.store.get(expression, self.key(*context))
+
+    def put(self, expression: str, values: DataFrame, *context: str) -> None:
+        self.store.put(expression, self.key(*context), values)

@@ -54,6 +54,10 @@ def is_registered(name: str) -> bool:
     return name in _operators
 
 
+def names() -> list[str]:
+    return sorted(operator_schema())
+
+
 def get(name: str) -> Operator:
     if name not in _operators:
         raise KeyError(f"unregistered operator {name!r}")

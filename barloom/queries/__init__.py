@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from barloom.queries import combination, curation, library, operators, portfolios, scoring, services, storage
+    from barloom.queries import combination, curation, ingest, library, operators, portfolios, scoring, services, storage
 
-    return (curation, operators, scoring, storage, library, combination, portfolios, services)
+    return (curation, operators, scoring, storage, ingest, library, combination, portfolios, services)
 
 
 def all_queries() -> dict:

@@ -10,6 +10,7 @@ from barloom.library.catalogs import alpha101, features158
 from barloom.library.sharing import common_subexpressions, evaluate_library
 from barloom.library.store import CombinationStore, FactorLibrary
 from barloom.plans.compiler import compile_factors, evaluate_long
+from barloom.queries.catalog_sql import catalog_sql
 from barloom.queries.operators import _w, full
 from barloom.queries.operators import rank as sql_rank
 from barloom.queries.panels import PANEL_SQL, nation_groups, nation_weeks
@@ -33,6 +34,27 @@ def alpha101_coverage(spark, d):
     return _coverage(evaluate_library(nation_weeks(spark, d), factors, nation_groups(spark, d)))
 
 
+def _values(long):
+    """By factor and symbol, over the finite values: their number, mean and mean tilted by the day of the year, on a scale of logarithms so that none outweighs the others."""
+    v = F.when(F.abs("value") != float("inf"), F.col("value"))
+    t = F.signum(v) * F.ln(1 + F.abs(v))
+    return long.groupBy("factor_id", "symbol").agg(F.count(v).alias("n_finite"), F.round(F.avg(t), 6).alias("mean_log"), F.round(F.avg(t * F.dayofyear("date") / 366), 6).alias("tilted"))
+
+
+_VALUES_SQL = """, t as (select factor_id, symbol, date, sign(f) * ln(1 + abs(f)) as t from (select *, case when isfinite(v) then v end as f from v))
+select factor_id, symbol, count(t) as n_finite, round(avg(t), 6) + 0.0 as mean_log, round(avg(t * dayofyear(date) / 366), 6) + 0.0 as tilted from t group by all"""
+
+
+def alpha101_values(spark, d):
+    """All 101 alphas on every cell, summed up by factor and symbol."""
+    return _values(evaluate_library(nation_weeks(spark, d), {f"alpha{n:03d}": e for n, e in alpha101().items()}, nation_groups(spark, d)))
+
+
+def features158_values(spark, d):
+    """All 158 features on every cell, summed up by factor and symbol."""
+    return _values(evaluate_library(nation_weeks(spark, d), features158()))
+
+
 def features158_coverage(spark, d):
     return _coverage(evaluate_library(nation_weeks(spark, d), features158()))
 
@@ -143,6 +165,8 @@ ic as (select f, date, case when stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then
 _HEAT = _FOUR_SQL + "select f as factor_id, {p} as period, round(avg(c), 7) + 0.0 as rank_ic, count(c) as n from ic group by all"
 ORACLES = {
     "alpha101_samples": _ALPHA_SQL,
+    "alpha101_values": catalog_sql({f"alpha{n:03d}": e for n, e in alpha101().items()}, _VALUES_SQL),
+    "features158_values": catalog_sql(features158(), _VALUES_SQL),
     "report_library": _FOUR_SQL + ", rep as (select f as factor_id, avg(c) as m, stddev_samp(c) as s from ic group by f) select factor_id, case factor_id when 'move' then 'again' else 'demo' end as market, round(m, 6) as rank_ic, round(m / s, 6) as rank_icir from rep where factor_id <> 'size'",
     "combination_runs": "select * from (values ('two again', 'equal', 'level,move', 0.75::double, 0.2::double, 16::bigint), ('one', 'ols', 'level', 1.0, 0.3, 16)) t(name, method, factors, level, icir, id_length)",
     "factor_lineage": "select * from (values ('b', 'a'), ('a', 'c'), ('d', 'c')) t(part, whole)",

@@ -15,7 +15,7 @@ from barloom.library.catalogs import unique_names
 from barloom.library.sharing import batches
 from barloom.operators import registry
 from barloom.plans.compiler import compile_factors, lower
-from barloom.plans.expression import Apply, ExpressionError, Field, Literal, fields_of, parse, walk
+from barloom.plans.expression import Apply, ExpressionError, Field, Literal, fields_of, node_hash, parse, walk
 from barloom.plans.panel import densify, panel_dates
 from barloom.portfolio import accounting, construction
 from barloom.portfolio.metrics import compute_metrics
@@ -103,6 +103,14 @@ class Session:
         """(symbol, date, factor) on every cell of the grid."""
         return compile_factors(self.dense, {"factor": expression}, self.groups, dense=True).frame
 
+    def factor_series(self, expression: str, symbols: Sequence[str]) -> DataFrame:
+        """(symbol, date, factor) of some symbols. If the expression looks along time only, just their bars are read."""
+        wanted = [s.strip().upper() for s in symbols]
+        here = F.upper(F.trim("symbol")).isin(wanted)
+        alone = not any(isinstance(n, Apply) and registry.get(n.op).axis == "cs" for n in walk(lower(parse(expression))))
+        frame = compile_factors(self.dense.where(here) if alone else self.dense, {"factor": expression}, self.groups, dense=True).frame
+        return frame if alone else frame.where(here)
+
     def factors(self, specs) -> DataFrame:
         """(factor_id, symbol, date, value, fwd_h...) of a batch, one plan for each group of related factors."""
         good, _ = self._checked(specs)
@@ -161,3 +169,33 @@ class Session:
         nav, trades = accounting.account(returns, targets, **dict(rates or {}))
         nav = stage(nav, "nav")
         return {"nav": nav, "rebalances": trades, "metrics": compute_metrics(nav.join(accounting.benchmark_nav(returns), "date"))}
+
+
+class Sessions:
+    """Open sessions by name, the least recently used closed beyond ``most``; evaluated factors are kept by structure."""
+
+    def __init__(self, most: int = 8):
+        self.most, self._open, self._memo = most, {}, {}
+
+    def open(self, name: str, make) -> Session:
+        """The session of that name, made by ``make()`` if there is none."""
+        session = self._open.pop(name, None) or make()
+        self._open[name] = session
+        while len(self._open) > self.most:
+            self.close(next(iter(self._open)))
+        return session
+
+    def evaluate(self, name: str, expression: str) -> DataFrame:
+        """As :meth:`Session.evaluate`, staged the first time an expression of that structure is asked for."""
+        key = (name, node_hash(parse(expression)))
+        if key not in self._memo:
+            self._memo[key] = stage(self._open[name].evaluate(expression), "memo")
+        return self._memo[key]
+
+    def close(self, name: str) -> bool:
+        """Whether there was such a session."""
+        self._memo = {k: v for k, v in self._memo.items() if k[0] != name}
+        return self._open.pop(name, None) is not None
+
+    def names(self) -> list[str]:
+        return list(self._open)

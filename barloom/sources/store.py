@@ -199,13 +199,16 @@ def store_status(prices: DataFrame) -> DataFrame:
     return prices.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(norm_key(F.col("symbol"))).alias("n_symbols"), F.countDistinct("date").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("as_of_date").alias("last_known"))
 
 
-def get_bars(prices: DataFrame, events: DataFrame, symbols: Sequence[str], start, end, as_of, frequency: str = "1d", adj: str = "split", order: Sequence[str] = ("as_of_date",)) -> DataFrame:
+def get_bars(prices: DataFrame, events: DataFrame, symbols: DataFrame | Sequence[str], start, end, as_of, frequency: str = "1d", adj: str = "split", order: Sequence[str] = ("as_of_date",)) -> DataFrame:
     """(symbol, date, open, high, low, close, volume) of some symbols, adjusted and as known; daily ('1d'), weekly ('1w') or monthly ('1mo').
 
-    The symbols reach the scan of prices and events as a filter. Symbols without bars give no row.
+    Listed symbols reach the scan of prices and events as a filter, a table of them is semi-joined. Symbols without bars give no row.
     """
-    wanted = sorted({s.strip().upper() for s in symbols})
-    own = events.where(norm_key(F.col("symbol")).isin(wanted))
+    if isinstance(symbols, DataFrame):
+        wanted, own = symbols, events
+    else:
+        wanted = sorted({s.strip().upper() for s in symbols})
+        own = events.where(norm_key(F.col("symbol")).isin(wanted))
     bars = read_panel(prices, own, ["open", "high", "low", "close", "volume"], start, end, as_of, adj, wanted, order)
     return (bars if frequency == "1d" else resample(bars, frequency)).select("symbol", "date", "open", "high", "low", "close", "volume")
 
