@@ -3,7 +3,7 @@
 Two identities tie the recorded numbers together:
 
 * shares traded = transactions x average trade size of the symbol, whatever vendor reports it;
-* cash dividend per share = (1 - adjustment factor) x last close before the ex-date.
+* cash dividend per share = (1 - adjustment factor) x close before the ex-date.
 
 In logarithms each is a sum, so a wrong unit moves the residual by whole powers of ten. Per vendor and
 date the summed (capped) absolute residual of every candidate unit is one aggregate; a shortest path
@@ -179,7 +179,7 @@ def dividend_residuals(events: DataFrame, prices: DataFrame) -> DataFrame:
     """(event_id, vendor, symbol, day, amount, stated, residual), one row per dividend with an amount.
 
     ``amount`` is ``dividend_cash``, or if that is null the amount in ``dividend_text``; ``stated`` the power of ten its own words state;
-    ``residual`` its decimal logarithm over what the identity says, (1 - factor) x the last close of the ten days before; null without a
+    ``residual`` its decimal logarithm over what the identity says, (1 - factor) x the median close of the ten days before, which a spike does not move; null without a
     factor between 0 and 1, a close or a positive amount. Repeats of an event_id count once: the row of
     the latest as_of_date, nulls last, then the greatest amount. Splits, rows with a null event_id and rows
     without an amount (null, NaN, or zero with no words) give no row. The table is staged.
@@ -197,7 +197,7 @@ def dividend_residuals(events: DataFrame, prices: DataFrame) -> DataFrame:
     # Each event asks for the ten days before its ex-date: an equi-join on (symbol, date), also for a hot symbol.
     asked = e.where("f > 0 and f < 1 and amount > 0").select("event_id", "symbol", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.date_sub("day", k))).alias("date"))
     closes = prices.where("close > 0").select(norm_key(F.col("symbol")).alias("symbol"), "date", F.col("close").cast("double").alias("close"))
-    before = broadcast_if_small(asked).join(closes, ["symbol", "date"]).groupBy("event_id").agg(F.max(F.struct("date", "close")).alias("_b")).select("event_id", F.col("_b.close").alias("prev_close"))
+    before = broadcast_if_small(asked).join(closes, ["symbol", "date"]).groupBy("event_id").agg(F.percentile("close", 0.5).alias("prev_close"))
     residual = F.log10(F.col("amount") / ((1 - F.col("f")) * F.col("prev_close")))
     return stage(e.join(before, "event_id", "left").select("event_id", "vendor", "symbol", "day", "amount", "stated", residual.alias("residual")), "dividend-residuals")
 

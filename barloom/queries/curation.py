@@ -47,7 +47,7 @@ one as (
   select event_id, vendor, upper(trim(symbol)) as symbol, ex_date, amount, provider_adj_factor as f
   from (select *, row_number() over (partition by event_id order by coalesce(as_of_date, date '0001-01-01') desc, amount desc) as rn from amounts where amount is not null) where rn = 1),
 prev as (
-  select o.event_id, arg_max(p.close::double, row(p.date, p.close)) as close
+  select o.event_id, median(p.close::double) as close
   from one o join price_raw p on upper(trim(p.symbol)) = o.symbol and p.date between o.ex_date - 10 and o.ex_date - 1
   where p.close > 0 and o.f > 0 and o.f < 1 and o.amount > 0 group by all)
 select event_id, vendor, round(log10(amount / ((1 - f) * prev.close)), 6) as residual from one join prev using (event_id)
