@@ -53,8 +53,8 @@ def regular_grid(readings: DataFrame, specs: DataFrame, *, max_gap: int = 3, tie
         .groupBy("session_id", "symbol", "slot")
         .agg(F.count(F.lit(1)).alias("n_obs"), F.max(F.struct("_at", "_tie", "_px")).alias("_last"), F.sum("_vol").alias("volume"))
     )
-    # A short list that grows a lot when its periods are generated: spread before, over a number that the engine does not merge again.
-    series = buckets.select("session_id", "symbol").distinct().repartition(int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id", "symbol")
+    # A short list that grows a lot when its periods are generated: spread before, by another key than it is grouped by, else the engine takes the exchange away.
+    series = buckets.select("session_id", "symbol").distinct().repartition(int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("session_id", "symbol"))
     days = F.filter(F.sequence("_start", "_end"), lambda d: F.weekday(d) < 5)
     grid = (
         series.join(spec, "session_id")
