@@ -84,8 +84,8 @@ def _sql(op: str, a: list) -> str:
     raise KeyError(op)
 
 
-def catalog_sql(factors: Mapping[str, str], summary: str) -> str:
-    """``summary`` over ``v`` (factor_id, symbol, date, v) of the named expressions."""
+def catalog_sql(factors: Mapping[str, str], summary: str, panel: str = PANEL_SQL) -> str:
+    """``summary`` over ``v`` (factor_id, symbol, date, v) of the named expressions over the dense panel ``p`` that ``panel`` defines."""
     roots = {name: lower(parse(e)) for name, e in factors.items()}
     depth: dict[str, int] = {}
     nodes: dict[str, Node] = {}
@@ -114,4 +114,4 @@ def catalog_sql(factors: Mapping[str, str], summary: str) -> str:
     last = f"s{max(depth.values())}"
     names = ", ".join(f"'{k}'" for k in roots)
     values = ", ".join(arg(r) for r in roots.values())
-    return f"with {PANEL_SQL}, {', '.join(parts)}, v as (select symbol, date, unnest([{names}]) as factor_id, unnest([{values}]) as v from {last}) {summary}"
+    return f"with {panel}, {', '.join(parts)}, v as (select symbol, date, unnest([{names}]) as factor_id, unnest([{values}]) as v from {last}) {summary}"

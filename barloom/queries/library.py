@@ -14,7 +14,9 @@ from barloom.queries.catalog_sql import catalog_sql
 from barloom.queries.operators import _w, full
 from barloom.queries.operators import rank as sql_rank
 from barloom.queries.panels import PANEL_SQL, nation_groups, nation_weeks
-from barloom.runtime import new_path, stage
+from barloom.queries.storage import _BARS, AS_OF, END, ORDER, START
+from barloom.runtime import new_path, stage, table
+from barloom.sources import store as S
 
 SAMPLES = (2, 3, 6, 9, 12, 33, 38, 41, 42, 54, 101)
 
@@ -68,6 +70,24 @@ def features158_values(spark, d):
     return _values(evaluate_library(nation_weeks(spark, d), features158()))
 
 
+def stock_bars(spark, d):
+    """(date, symbol, open, high, low, close, volume, vwap): the bars of price_raw as known, those with positive numbers; it grows by symbols."""
+    bars = S.prices_as_of(table(spark, d, "price_raw"), START, END, AS_OF, order=ORDER)
+    bars = bars.select("date", "symbol", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]).where("open > 0 and high > 0 and low > 0 and close > 0 and volume > 0")
+    return bars.withColumn("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)
+
+
+STOCK_PANEL_SQL = f"""{_BARS.replace(f" - {S.GAP_DAYS}", "")},
+ok as (select date, symbol, open::double as open, high::double as high, low::double as low, close::double as close, volume::double as volume from bars where open > 0 and high > 0 and low > 0 and close > 0 and volume > 0),
+p as (select d.date, s.symbol, d.bar_no, o.* exclude (date, symbol), (o.high + o.low + o.close) / 3 as vwap from (select date, row_number() over (order by date) - 1 as bar_no from (select distinct date from ok)) d
+  cross join (select distinct symbol from ok) s left join ok o using (date, symbol))"""
+
+
+def features158_bars(spark, d):
+    """All 158 features over the raw daily bars of all symbols, summed up by factor and symbol."""
+    return _values(evaluate_library(stock_bars(spark, d), features158()))
+
+
 def features158_coverage(spark, d):
     return _coverage(evaluate_library(nation_weeks(spark, d), features158()))
 
@@ -179,6 +199,7 @@ _HEAT = _FOUR_SQL + "select f as factor_id, {p} as period, round(avg(c), 7) + 0.
 ORACLES = {
     "alpha101_samples": _ALPHA_SQL,
     "alpha101_values": catalog_sql(_alphas(False), _VALUES_SQL),
+    "features158_bars": catalog_sql(features158(), _VALUES_SQL, STOCK_PANEL_SQL),
     "features158_values": catalog_sql(features158(), _VALUES_SQL),
     "report_library": _FOUR_SQL + ", rep as (select f as factor_id, avg(c) as m, stddev_samp(c) as s from ic group by f) select factor_id, case factor_id when 'move' then 'again' else 'demo' end as market, round(m, 6) as rank_ic, round(m / s, 6) as rank_icir from rep where factor_id <> 'size'",
     "combination_runs": "select * from (values ('two again', 'equal', 'level,move', 0.75::double, 0.2::double, 16::bigint), ('one', 'ols', 'level', 1.0, 0.3, 16)) t(name, method, factors, level, icir, id_length)",
