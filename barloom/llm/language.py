@@ -25,6 +25,8 @@ letter_words = LETTERS.findall
 SYMBOLS = 28
 #: Bits a letter at most, so that one odd word does not decide; and how far below the mean a text may lie.
 FLOOR, MARGIN = -5.0, 0.75
+#: Different stretches, and characters of text, after which a task hands its counts over, so that its memory stays small.
+STRETCHES, CHARACTERS = 200_000, 1 << 25
 
 
 def symbols(word: str) -> list[int]:
@@ -66,32 +68,34 @@ class Language:
         return self.known & (n > 0) & (bits >= (self.mean - MARGIN) * n)
 
 
-def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4_000, prefix: str = "en") -> Language:
-    """The model of the language whose label begins with ``prefix``, learned from at most ``sample`` whole texts.
+def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", prefix: str = "en") -> Language:
+    """The model of the language whose label begins with ``prefix``, learned from every text labelled so.
 
-    The texts are those of the smallest hashed ids among the ones labelled so in column ``lang`` (some wrong labels do no harm); without
-    such a column or label, among all. Null ids and texts are left out. Words are counted by the executors; what comes to
+    Some wrong labels in column ``lang`` do no harm; without such a column, or without a word in the texts labelled so, it is
+    learned from all texts. Null ids and texts are left out. Words are counted by the executors; what comes to
     the driver are the sums of 28 x 28 x 28 trigrams. An empty table gives a model that no text fits.
     """
     given = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     labelled = given.where(F.lower(F.trim(F.col(lang))).startswith(prefix)) if lang in documents.columns else None
-    chosen = []
-    for source in (labelled, given):
-        if source is not None and not chosen:
-            # At most ``sample`` ids.
-            chosen = [r.i for r in source.select(F.col(doc_id).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample).collect()]
-    shape = (SYMBOLS,) * 3
-    if not chosen:
-        return Language(np.zeros(shape), np.zeros(shape))
-    ids = documents.sparkSession.createDataFrame([(i,) for i in chosen], given.select(F.col(doc_id).alias("_i")).schema)
-    texts = spread(given.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t")).join(F.broadcast(ids), "_i", "left_semi"))
+
+    def frame(stretches):
+        words = Counter()
+        for stretch, n in stretches.items():
+            for w in letter_words(stretch.lower()):
+                words[w] += n
+        return pd.DataFrame({"w": np.array(list(words), object), "n": np.array(list(words.values()), float)})
 
     def count(batches):
+        # No word crosses a blank, so equal stretches are taken apart once.
+        stretches, size = Counter(), 0
         for b in batches:
-            words = Counter()
             for t in b["_t"]:
-                words.update(letter_words(plain(t).lower()))
-            yield pd.DataFrame({"w": list(words), "n": list(words.values())})
+                stretches.update(plain(t).split())
+                size += len(t)
+                if len(stretches) > STRETCHES or size > CHARACTERS:
+                    yield frame(stretches)
+                    stretches, size = Counter(), 0
+        yield frame(stretches)
 
     def trigrams(batches):
         sums = np.zeros((2, SYMBOLS**3))
@@ -104,8 +108,11 @@ def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         some = np.flatnonzero(sums[1])
         yield pd.DataFrame({"cell": some.astype(np.int32), "soft": sums[0][some], "raw": sums[1][some]})
 
-    words = texts.mapInPandas(count, "w string, n double").groupBy("w").agg(F.sum("n").alias("n"))
-    got = words.mapInPandas(trigrams, "cell int, soft double, raw double").groupBy("cell").agg(F.sum("soft").alias("soft"), F.sum("raw").alias("raw")).toPandas()
     out = np.zeros((2, SYMBOLS**3))
-    out[:, got["cell"].to_numpy(int)] = got[["soft", "raw"]].to_numpy().T
+    for source in (labelled, given):
+        if source is not None and not out[1].any():
+            words = spread(source.select(F.col(text).alias("_t"))).mapInPandas(count, "w string, n double").groupBy("w").agg(F.sum("n").alias("n"))
+            got = words.mapInPandas(trigrams, "cell int, soft double, raw double").groupBy("cell").agg(F.sum("soft").alias("soft"), F.sum("raw").alias("raw")).toPandas()
+            out[:, got["cell"].to_numpy(int)] = got[["soft", "raw"]].to_numpy().T
+    shape = (SYMBOLS,) * 3
     return Language(out[0].reshape(shape), out[1].reshape(shape))

@@ -154,15 +154,15 @@ def cut_points(grades: np.ndarray, levels: np.ndarray, density: np.ndarray, edge
 
 
 def reading_levels(
-    documents: DataFrame, grades: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "band", bands: int = 4, min_words: int = 20, iterations: int = 8, tolerance: float = 0.002, buckets: int = BUCKETS, lang: str = "lang", language_sample: int = 4_000
+    documents: DataFrame, grades: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "band", bands: int = 4, min_words: int = 20, iterations: int = 8, tolerance: float = 0.002, buckets: int = BUCKETS, lang: str = "lang"
 ) -> DataFrame:
     """(doc_id, level, band): the continuous level and the band (1 to ``bands``) of every English text of ``min_words`` words or more.
 
     ``grades``: any number of ratings per document; null ones and ones outside the bands are ignored, several are averaged. A
     graded document is clamped while levels spread; its own result comes from its words like any other's, as
     single ratings are noisy. Without usable grades the result is empty. Null texts and ids, texts in other
-    languages (see :func:`barloom.llm.language.fit_language`; it learns English from at most ``language_sample`` texts that column ``lang`` calls English, or
-    from any if there are none) and shorter texts give no row; repeated documents a row each. Whole texts are read. A text none of whose
+    languages (see :func:`barloom.llm.language.fit_language`; it learns English from every text that column ``lang`` calls English, or
+    from all if there are none) and shorter texts give no row; repeated documents a row each. Whole texts are read. A text none of whose
     words occur elsewhere gets the mean level. Extra columns are not looked at.
     """
     spark = documents.sparkSession
@@ -170,7 +170,7 @@ def reading_levels(
     id_type = docs.schema["doc"].dataType.simpleString()
     rated = grades.where(F.col(grade).between(1, bands) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc")).agg(F.avg(F.col(grade).cast("double")).alias("grade"))
 
-    english = spark.sparkContext.broadcast(fit_language(documents, doc_id=doc_id, text=text, lang=lang, sample=language_sample))
+    english = spark.sparkContext.broadcast(fit_language(documents, doc_id=doc_id, text=text, lang=lang))
 
     def graph(batches):
         known = Chunks(english.value, buckets)
