@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import Memo, plain
-from barloom.runtime import spread
+from barloom.runtime import spread, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 letter_words = LETTERS.findall
@@ -27,6 +27,9 @@ SYMBOLS = 28
 FLOOR, MARGIN = -5.0, 0.75
 #: Different stretches, and characters of text, after which a task hands its counts over, so that its memory stays small.
 STRETCHES, CHARACTERS = 200_000, 1 << 25
+#: A word weighs by the square root of its count, taken as if the corpus had so many words if it has more, and by that count itself if it
+#: is below one: else slips and rare names, of which a growing corpus has ever new ones, would in the end outweigh the common words.
+WORDS = 1 << 20
 
 
 def symbols(word: str) -> list[int]:
@@ -34,7 +37,7 @@ def symbols(word: str) -> list[int]:
 
 
 class Language:
-    """``counts``: trigrams by the square root of their words' counts; ``raw``: by the counts themselves."""
+    """``counts``: trigrams by the flattened counts of their words (see ``WORDS``); ``raw``: by the counts themselves."""
 
     def __init__(self, counts: np.ndarray, raw: np.ndarray):
         alone = counts.sum((0, 1)) + 1
@@ -97,22 +100,26 @@ def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                     stretches, size = Counter(), 0
         yield frame(stretches)
 
-    def trigrams(batches):
-        sums = np.zeros((2, SYMBOLS**3))
-        for b in batches:
-            for w, n in zip(b["w"], b["n"]):
-                x = np.array(symbols(w))
-                cell = (x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:]
-                np.add.at(sums[0], cell, n**0.5)
-                np.add.at(sums[1], cell, n)
-        some = np.flatnonzero(sums[1])
-        yield pd.DataFrame({"cell": some.astype(np.int32), "soft": sums[0][some], "raw": sums[1][some]})
-
     out = np.zeros((2, SYMBOLS**3))
     for source in (labelled, given):
-        if source is not None and not out[1].any():
-            words = spread(source.select(F.col(text).alias("_t"))).mapInPandas(count, "w string, n double").groupBy("w").agg(F.sum("n").alias("n"))
-            got = words.mapInPandas(trigrams, "cell int, soft double, raw double").groupBy("cell").agg(F.sum("soft").alias("soft"), F.sum("raw").alias("raw")).toPandas()
-            out[:, got["cell"].to_numpy(int)] = got[["soft", "raw"]].to_numpy().T
+        if source is None or out[1].any():
+            continue
+        words = stage(spread(source.select(F.col(text).alias("_t"))).mapInPandas(count, "w string, n double").groupBy("w").agg(F.sum("n").alias("n")), "language-words")
+        scale = min(1.0, WORDS / (words.agg(F.sum("n")).first()[0] or 1.0))
+
+        def trigrams(batches, scale=scale):
+            sums = np.zeros((2, SYMBOLS**3))
+            for b in batches:
+                for w, n in zip(b["w"], b["n"]):
+                    x = np.array(symbols(w))
+                    cell = (x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:]
+                    m = n * scale
+                    np.add.at(sums[0], cell, min(m, m**0.5))
+                    np.add.at(sums[1], cell, n)
+            some = np.flatnonzero(sums[1])
+            yield pd.DataFrame({"cell": some.astype(np.int32), "soft": sums[0][some], "raw": sums[1][some]})
+
+        got = words.mapInPandas(trigrams, "cell int, soft double, raw double").groupBy("cell").agg(F.sum("soft").alias("soft"), F.sum("raw").alias("raw")).toPandas()
+        out[:, got["cell"].to_numpy(int)] = got[["soft", "raw"]].to_numpy().T
     shape = (SYMBOLS,) * 3
     return Language(out[0].reshape(shape), out[1].reshape(shape))

@@ -320,21 +320,22 @@ def test_language_is_learned_from_the_corpus(spark):
     assert not empty.known and not empty.holds(*map(np.array, ([-1.0], [9.0], [-1.0], [9.0])))[0]
 
 
-@pytest.mark.parametrize("label", ["en-GB", None])
-def test_language_is_learned_from_every_text(spark, monkeypatch, label):
+@pytest.mark.parametrize("label, most", [("en-GB", 1 << 20), (None, 2_000)])
+def test_language_is_learned_from_every_text(spark, monkeypatch, label, most):
     from barloom.llm import language as G
 
     monkeypatch.setattr(G, "STRETCHES", 50)
+    monkeypatch.setattr(G, "WORDS", most)
     rng = random.Random(4)
     some = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 6))) for _ in range(900)]
     texts = [" ".join(rng.choices(some, k=3)) + rng.choice(["-Aé", ", <b>x</b>", " 7", "\n", " ΑΣ ΑΣ"]) for _ in range(4_500)] + ["Zq-zq zq"]
     docs = [(i, t, label) for i, t in enumerate(texts)] + [(None, "none", label), (9_000, None, label)] + ([(9_001, "fremd", "de")] if label else [])
     got = G.fit_language(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
-    counts = np.zeros((2, 28, 28, 28))
-    for w, n in Counter(w for t in texts for w in G.letter_words(plain(t).lower())).items():
-        x = G.symbols(w)
+    counts, words_of = np.zeros((2, 28, 28, 28)), Counter(w for t in texts for w in G.letter_words(plain(t).lower()))
+    for w, n in words_of.items():
+        x, m = G.symbols(w), n * min(1, most / words_of.total())
         for at in zip(x, x[1:], x[2:]):
-            counts[(slice(None), *at)] += (n**0.5, n)
+            counts[(slice(None), *at)] += (min(m, m**0.5), n)
     want = G.Language(*counts)
     assert got.known and np.allclose(got.bits, want.bits) and np.isclose(got.mean, want.mean)
     wordless = [(1, "7 %", "en"), (2, "", "en"), (3, "abc abd", "fr")]
@@ -342,6 +343,17 @@ def test_language_is_learned_from_every_text(spark, monkeypatch, label):
     assert not G.fit_language(spark.createDataFrame(wordless[:2], "doc_id long, text string, lang string")).known
 
 
+def test_language_stays_when_the_corpus_grows(spark, monkeypatch):
+    from barloom.llm import language as G
+
+    monkeypatch.setattr(G, "WORDS", 3_000)
+    rng = random.Random(5)
+    usual = ENGLISH[0].lower().split()
+    texts = [" ".join([*rng.choices(usual, k=20), "".join(rng.choices("qxzjvkw", k=8))]) for _ in range(8_000)]
+    few, many = (G.fit_language(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")).mean for n in (200, 8_000))
+    assert abs(few - many) < 0.05
+
+
 def test_graph_counts_words(spark):
     from barloom.llm.language import Language
 
